@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagweave.llm import packing, runs, splits, splitting
+from bagweave.llm import leakage, packing, runs, splits, splitting
 from bagweave.session import read_table
 
 
@@ -34,6 +34,10 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(read_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(read_table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
 
@@ -43,7 +47,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_containers": p6_containers, "p8_found": p8_found, "p8_pieces": p8_pieces}
+    return {"p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_pieces": p8_pieces}
 
 
 _NEAR = """
