@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagweave.llm import leakage, packing, runs, splits, splitting
+from bagweave.llm import leakage, packing, runs, splits, splitting, vectors
 from bagweave.session import read_table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = vectors.similar_pairs(read_table(spark, d, "sift_combined"), "feature_id", "feature", dim=128, k=10, max_distance=0.12)
+    return pairs.select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.related_bags(read_table(spark, d, "bags"), read_table(spark, d, "entities"))
 
@@ -47,7 +52,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_pieces": p8_pieces}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_pieces": p8_pieces}
 
 
 _NEAR = """
