@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagweave.llm import leakage, packing, runs, splits, splitting, vectors
-from bagweave.session import read_table
+from bagweave.llm import clusters, leakage, packing, runs, splits, splitting, vectors
+from bagweave.llm.components import random_mate
+from bagweave.session import materialize, read_table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +23,28 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_splits(read_table(spark, d, "bags"), read_table(spark, d, "entities"))
 
 
+def _alike(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Links and components of features within 0.45 and of points of a split within 0.5."""
+    features = clusters.vector_links(read_table(spark, d, "sift_combined"), "feature_id", "feature", dim=128, max_distance=0.45)
+    links = materialize(clusters.point_links(read_table(spark, d, "points"), "point_id", "split_id", "point", 0.5))
+    return {"sift_combined": features, "points": (links, random_mate(links, finish_edges=clusters.FINISH))}
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (clusters.clusters_of(parts, 12).select(F.lit(src).alias("src"), "rec_id", "cluster_id") for src, (_, parts) in _alike(spark, d).items())
+    return a.unionByName(b)
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical member (its medoid) of each cluster after loose ones are split."""
+    out = None
+    for src, (links, parts) in _alike(spark, d).items():
+        split = clusters.split_loose(links, clusters.clusters_of(parts, 12))
+        made = split.groupBy("cluster_id", "medoid").agg(F.count("*").alias("size")).select(F.lit(src).alias("src"), "cluster_id", "medoid", "size")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(read_table(spark, d, "states")).select("game_id", "first_idx", "last_idx")
 
@@ -52,7 +75,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_pieces": p8_pieces}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_pieces": p8_pieces}
 
 
 _NEAR = """
