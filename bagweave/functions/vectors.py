@@ -162,7 +162,7 @@ def file_number(name: Column) -> Column:
 
 
 def without_suffix(name: Column, suffix: str = ".json") -> Column:
-    return F.when(name.endswith(suffix), F.expr("1") * 0 + 1).isNotNull().cast("string") if False else F.regexp_replace(name, r"\.json$", "")
+    return F.when(name.endswith(suffix), F.substring(name, 1, F.length(name) - len(suffix))).otherwise(name)
 
 
 def appended(a: Column, *values: Column) -> Column:
