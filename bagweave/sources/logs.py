@@ -126,7 +126,7 @@ def read_game(text: str) -> Iterator[tuple]:
         time = int(shown[1])
         sub = sub + 1 if time == last else 0
         last = time
-        for entry in shown[2:] if all(isinstance(x, list) and x and isinstance(x[0], list) for x in shown[2:3]) and isinstance(shown[2][0], list) and len(shown) > 3 else shown[2]:
+        for entry in shown[2:]:
             name = entry[0]
             if name == ["b"]:
                 yield index, time, sub, "ball", -1, 0, entry[1], entry[2], float("nan")
