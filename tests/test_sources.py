@@ -38,12 +38,12 @@ def test_block_log(spark, tmp_path):
 def test_game_log(spark, tmp_path):
     (tmp_path / "a.rcg").write_text(GAME)
     rows = logs.read_game_log(spark, str(tmp_path / "a.rcg")).collect()
-    assert sorted((r.state_idx, r.time, r.subtime, r.kind, r.team, r.index) for r in rows) == [(0, 1, 0, "ball", -1, 0), (0, 1, 0, "player", 0, 1), (0, 1, 0, "player", 1, 1), (1, 1, 1, "ball", -1, 0)]
+    assert sorted((r.state_idx, r.time, r.subtime, r.kind, r.team, r["index"]) for r in rows) == [(0, 1, 0, "ball", -1, 0), (0, 1, 0, "player", 0, 1), (0, 1, 0, "player", 1, 1), (1, 1, 1, "ball", -1, 0)]
     (tmp_path / "a.rcl").write_text("1,0\tRecv Keepers_1: (kick 50 0)\n1,0\tRecv Coach: (x)\n9,0\tRecv Keepers_1: (kick 1 1)\n")
     names = logs.team_names(spark.read.text(str(tmp_path / "a.rcg")))
     commands = logs.read_commands(spark, logs.command_path(str(tmp_path / "a.rcg")))
     joined = logs.with_commands(logs.read_game_log(spark, str(tmp_path / "a.rcg")), commands, names)
-    assert [(r.index, r.kick_power) for r in joined.where("kick_power > 0 and not isnan(kick_power)").collect()] == [(1, 50.0)]
+    assert [(r["index"], r.kick_power) for r in joined.where("kick_power > 0 and not isnan(kick_power)").collect()] == [(1, 50.0)]
 
 
 def test_descriptors(spark, tmp_path):
