@@ -130,6 +130,30 @@ def test_vector_clusters(spark):
     assert len(medoids) == len(got) and {m.rec_id for m in medoids} == {g[0] for g in got}
 
 
+def test_chance_of_a_link_does_not_fall_with_rows():
+    likeness = 1 - clusters.FALL * 0.45
+    chance = [1 - (1 - likeness**r) ** clusters.bands_for(r, 0.45) for r in map(clusters.band_rows, (78_000, 800_000, 8_000_000, 200_000_000))]
+    assert min(chance) >= 0.99 * chance[0]
+    # bands that share a pool of MinHashes find as many as independent ones
+    rng = np.random.default_rng(1)
+    x = vectors.unit(np.abs(rng.normal(size=(1500, 64))))
+    y = vectors.unit(np.abs(x + rng.normal(size=x.shape) * 0.03))
+    r, bands = 9, clusters.bands_for(9, 0.45)
+    assert bands * r > clusters.POOL
+    found = (clusters.band_keys(x, bands, r, 5) == clusters.band_keys(y, bands, r, 5)).any(1).mean()
+    fewer = (clusters.band_keys(x, clusters.BANDS, r, 5) == clusters.band_keys(y, clusters.BANDS, r, 5)).any(1).mean()
+    assert found > fewer + 0.1 and found > 0.6
+
+
+def test_alike_rows_in_a_bucket_with_an_unlike_smallest_one(spark, monkeypatch):
+    """All rows share one bucket, whose smallest id is like none of them."""
+    monkeypatch.setattr(clusters, "band_keys", lambda x, bands, rows, seed: np.ones((len(x), 1), np.uint64))
+    x = np.eye(8)[[0, 1, 1, 1, 2, 2, 3]]
+    df = spark.createDataFrame([(i, v.tolist(), "", "") for i, v in enumerate(x)], VEC)
+    _, parts = clusters.vector_links(df, "feature_id", "feature", 8, 0.3, bands=1)
+    assert {(r.rec_id, r.cluster_id) for r in clusters.clusters_of(parts, 2).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+
+
 @pytest.mark.parametrize("cap", [8192, 7])
 def test_point_clusters(spark, monkeypatch, cap):
     monkeypatch.setattr(clusters, "CELL_CAP", cap)
