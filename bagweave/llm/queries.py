@@ -36,13 +36,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Size and most typical member (its medoid) of each cluster after loose ones are split."""
-    out = None
-    for src, (links, parts) in _alike(spark, d).items():
-        split = clusters.split_loose(links, clusters.clusters_of(parts, 12))
-        made = split.groupBy("cluster_id", "medoid").agg(F.count("*").alias("size")).select(F.lit(src).alias("src"), "cluster_id", "medoid", "size")
-        out = made if out is None else out.unionByName(made)
-    return out
+    """Size and most typical members (its medoid first) of each cluster after loose ones are split."""
+    alike = _alike(spark, d)
+    features, points = read_table(spark, d, "sift_combined"), clusters.usable_points(read_table(spark, d, "points"), "point_id", "split_id", "point")
+    vectors_of = {"sift_combined": (features.where("feature_id is not null").select(F.col("feature_id").cast("bigint").alias("id"), F.col("feature").cast("array<double>").alias("vec")), 0.45, 128), "points": (points.select("id", F.col("point").alias("vec")), 0.5, None)}
+    made = [clusters.typical_members(clusters.clusters_of(alike[src][1], 12), *of).select(F.lit(src).alias("src"), "cluster_id", "medoid", "size", "typical") for src, of in vectors_of.items()]
+    return made[0].unionByName(made[1])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -166,6 +166,21 @@ def test_point_clusters(spark, monkeypatch, cap):
     assert clusters.point_links(df.limit(0), "point_id", "split_id", "point", 0.5).count() == 0
 
 
+def test_long_loose_clusters_are_split_to_the_end(spark):
+    """A chain of 60 points and a tight cluster; the chain needs some 20 medoids, and each takes only what is near it."""
+    x = [0.8 * i for i in range(60)] + [100.0 + 0.01 * i for i in range(12)]
+    df = spark.createDataFrame([(i, 1, [v]) for i, v in enumerate(x)], "point_id bigint, split_id bigint, point array<double>")
+    links = clusters.point_links(df, "point_id", "split_id", "point", 0.9)
+    members = clusters.clusters_of(components.random_mate(links), 12)
+    split = clusters.split_loose(links, members).collect()
+    assert len(split) == 72 and all(abs(x[r.rec_id] - x[r.medoid]) <= 0.9 for r in split if r.cluster_id == 0)
+    points = clusters.usable_points(df, "point_id", "split_id", "point").select("id", F.col("point").alias("vec"))
+    made = clusters.typical_members(members, points, 0.9).collect()
+    chain = [r for r in made if r.cluster_id == 0]
+    assert sum(r["size"] for r in chain) == 60 and max(r["size"] for r in chain) <= 3 and len(chain) >= 20
+    assert [(r.medoid, r["size"], r.typical) for r in made if r.cluster_id == 60] == [(60, 12, [60, 61, 62])]
+
+
 STATES = "game_id bigint, state_idx bigint, time bigint, subtime bigint, new_session boolean, players array<struct<team:int,index:bigint,location:array<double>,orientation:double,kick_power:double,kick_angle:double>>, received_at bigint, chunk string"
 NAN = float("nan")
 
