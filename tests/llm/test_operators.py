@@ -51,6 +51,26 @@ def test_nearest_recall(spark):
     assert hits >= 0.9 * 10 * len(got) and len(got) == 240
 
 
+def test_nearest_recall_with_many_cells(spark, monkeypatch):
+    """Rows without clear neighbours in 100 cells, of which the default must search enough."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    x = np.round(np.abs(np.random.default_rng(4).normal(size=(4000, 32))) * 100) + 1
+    df = spark.createDataFrame([(i, v.tolist(), "", "") for i, v in enumerate(x)], VEC)
+    assert len(vectors.train_index(df, "feature_id", "feature", 32).centres) == 100
+    u, recall = vectors.unit(x), {}
+    for probes in (None, 8):
+        got = {}
+        for r in vectors.nearest(df, "feature_id", "feature", 32, k=10, probes=probes, query_every=20).collect():
+            got.setdefault(r.id, set()).add(r.other)
+        hits = 0
+        for i in range(0, len(x), 20):
+            d = np.linalg.norm(u - u[i], axis=1)
+            d[i] = 9
+            hits += len(got[i] & set(np.argsort(d)[:10].tolist()))
+        recall[probes] = hits / 2000
+    assert recall[None] >= 0.9 > recall[8]
+
+
 def test_quantisation_favours_parallel_error():
     x = vectors.unit(np.abs(np.random.default_rng(0).normal(size=(3000, 64)))).astype(np.float32)
     index = vectors.Index.train(x.astype(float), 3000)
