@@ -270,7 +270,7 @@ def learn_tree(spark, d):
     """A tree over the events scene: how it splits, as rows."""
     points = event_points(spark, d)
     entities = points.select("bag_id", F.monotonically_increasing_id().alias("entity_id"), F.get("point", F.lit(0)).alias("value"))
-    config = learning.Config((T.valid(1), T.property_of("value")), max_rounds=1)
+    config = learning.Config((T.valid(1), T.property_of("value")))
     tree = learning.learn(points.select("bag_id", "label").distinct(), entities, config)
     rows = [(n.id, type(n).__name__, getattr(n, "probability", None)) for n in T.walk(tree or config.initial)]
     return spark.createDataFrame(rows, "node_id int, kind string, probability double")

@@ -109,3 +109,21 @@ def test_learner_finds_the_rule(spark):
     tree = learning.learn(spark.createDataFrame(bags, "bag_id bigint, label boolean"), spark.createDataFrame(entities, "bag_id bigint, entity_id bigint, x double"), learning.Config((T.property_of("x"),), max_rounds=1, seed_bags=3))
     best = max(T.leaves(tree), key=lambda x: x.probability)
     assert best.probability > 0.9 and len(list(itertools.islice(T.walk(tree), 10))) == 6
+
+
+def test_learner_goes_on_until_no_expansion_is_accepted(spark, monkeypatch):
+    """Ten expansions are significant, the eleventh is not; the other steps are stubs."""
+    calls = itertools.count()
+    monkeypatch.setattr(learning, "bootstrap_p_value", lambda *_: 0.01 if next(calls) < 10 else 1.0)
+    monkeypatch.setattr(learning, "fit_leaves", lambda root, *_: (root, {}))
+    monkeypatch.setattr(learning.S, "best_leaf", lambda counts, probabilities, ids: ids[-1])
+    monkeypatch.setattr(learning.S, "signatures", lambda _: {})
+    monkeypatch.setattr(learning.T, "propagate", lambda *_: None)
+    monkeypatch.setattr(learning, "expansions", lambda depth, functions: [(0, functions[0], (0,))])
+    monkeypatch.setattr(learning, "_points_at", lambda *_: None)
+    monkeypatch.setattr(learning, "materialize", lambda x: x)
+    monkeypatch.setattr(learning, "discard", lambda _: None)
+    monkeypatch.setattr(learning, "seed_search", lambda *_: ((0.0,), 1.0, 0.0))
+    bags = spark.createDataFrame([(b, b % 2 == 0) for b in range(30)], "bag_id bigint, label boolean")
+    tree = learning.learn(bags, None, learning.Config((T.property_of("x"),)))
+    assert sum(isinstance(n, T.Split) for n in T.walk(tree)) == 10 and next(calls) == 11
