@@ -205,10 +205,10 @@ def mahalanobis_2d(spark, d):
     return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r6(p).alias("d2"))
 
 
-def vec_stats(how):
+def vec_stats(how, dims=8):
     def run(spark, d):
         df = read_table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("e"))
-        return Q.vector_aggregate(df, "e", 8, how).select(F.posexplode("value").alias("dim", "x")).select("dim", F.round("x", 6).alias("x"))
+        return Q.vector_aggregate(df, "e", dims, how).select(F.posexplode("value").alias("dim", "x")).select("dim", F.round("x", 6).alias("x"))
 
     return run
 
@@ -350,6 +350,7 @@ CATALOGUE = {
     "diverse_density": (diverse_density, f"with {EVENTS}, seed as (select distinct bag_id as seed_bag, x as s from ep where bag_id in (select distinct bag_id from ep where label order by bag_id limit 4)), near as (select seed_bag, s, bag_id, label, min((x - s) * (x - s)) as d from ep, seed group by all) select seed_bag, round(s, 6) as seed, round(sum(case when label then d when 1 - exp(-d) > 0 then -ln(1 - exp(-d)) else 'inf'::double end), 5) as score from near group by seed_bag, s"),
     "kernel_density_1d": (kernel_density_1d, f"with {EVENTS}, lim as (select min(x) as lo, max(x) as hi, (max(x) - min(x)) / 31 as h from ep), grid as (select lo + h * i as cell, h from lim, range(31) t(i)) select round(cell, 6) as cell, round(coalesce(sum(exp(-0.5 * (x - cell) * (x - cell) / h) / sqrt(2 * pi() * h)), 0), 4) as density from grid left join ep on (x - cell) * (x - cell) < 16 * h group by cell"),
     **{f"vec_{how}": (vec_stats(how), f"select i - 1 as dim, round({fn}(embedding[i]::double), 6) as x from (select embedding, unnest(range(1, 9)) as i from embeddings) group by i") for how, fn in (("min", "min"), ("max", "max"), ("mean", "avg"))},
+    **{f"vec_{how}_all": (vec_stats(how, 64), f"select i - 1 as dim, round({fn}(embedding[i]::double), 6) as x from (select embedding, unnest(range(1, 65)) as i from embeddings) group by i") for how, fn in (("min", "min"), ("max", "max"), ("mean", "avg"))},
     "variance": (lambda s, d: Q.variance(lineitem_points(s, d), "x").select(F.round("variance", 4).alias("variance")), "select round(var_samp(l_quantity), 4) as variance from lineitem"),
     "covariance": (lambda s, d: Q.covariance(lineitem_points(s, d), "x", "y").select(F.round("covariance", 4).alias("covariance")), "select round(covar_samp(l_quantity, l_extendedprice / 1000), 4) as covariance from lineitem"),
     "gaussian_mle": (gaussian_mle, "with p as (select l_quantity as x, l_extendedprice / 1000 as y from lineitem) select round(avg(x), 5) as m0, round(avg(y), 5) as m1, round(var_samp(x), 4) as c00, round(covar_samp(x, y), 4) as c01, round(covar_samp(x, y), 4) as c10, round(var_samp(y), 4) as c11 from p"),
