@@ -299,7 +299,7 @@ def tables_of(name):
 
 
 def p2_found(spark, d):
-    return nested.nested_items(read_table(spark, d, "graph_exports"), "record_id", "payload").select("record_id", "graph_no", "item_path")
+    return nested.nested_items(read_table(spark, d, "graph_exports"), "record_id", "payload").select("record_id", "graph_no", "item_path").distinct()
 
 
 def angles(spark, d):

@@ -223,7 +223,7 @@ def shred(df: DataFrame, id_col: str, payload_col: str, kinds: tuple[str, ...] =
 
 def nested_items(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """One row per occurrence of an item: its graph, its parent item, and its identity."""
-    return shred(df, id_col, payload_col, ("item",)).select("record_id", "graph_no", "item_path", "parent_path", F.col("ordinal").cast("bigint").alias("ordinal"), "node", "body").dropDuplicates(["record_id", "graph_no", "item_path"])
+    return shred(df, id_col, payload_col, ("item",)).select("record_id", "graph_no", "item_path", "parent_path", F.col("ordinal").cast("bigint").alias("ordinal"), "node", "body")
 
 
 def _label(body: str) -> dict:
@@ -242,6 +242,6 @@ def nested_tables(df: DataFrame, id_col: str, payload_col: str) -> dict[str, Dat
         "roots": of("root").select("record_id", "node").distinct(),
         "nodes": of("node").select("node", "body").dropDuplicates(["node"]),
         "edges": of("edge").select(F.col("node").alias("parent"), "field", "ordinal", "child").distinct(),
-        "graphs": of("graph").select("record_id", "graph_no", "node", *(c.alias(k) for k, c in _label("body").items())).dropDuplicates(["record_id", "graph_no"]),
-        "items": of("item").select("record_id", "graph_no", "item_path", "parent_path", F.col("ordinal").cast("bigint").alias("ordinal"), "node", F.get_json_object("body", "$.type").alias("type")).dropDuplicates(["record_id", "graph_no", "item_path"]),
+        "graphs": of("graph").select("record_id", "graph_no", "node", *(c.alias(k) for k, c in _label("body").items())),
+        "items": of("item").select("record_id", "graph_no", "item_path", "parent_path", F.col("ordinal").cast("bigint").alias("ordinal"), "node", F.get_json_object("body", "$.type").alias("type")),
     }

@@ -54,3 +54,11 @@ def test_copies_and_extra_columns(spark):
     df = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, text, "y")], "record_id bigint, payload string, body string")
     assert nested.nested_items(df, "record_id", "payload").count() == 8
     assert nested.nested_items(df.limit(0), "record_id", "payload").count() == 0
+
+
+def test_records_without_id_stay_apart(spark):
+    other = {**GRAPH, "label": "false", "items": [{"type": "z"}, *GRAPH["items"][1:]]}
+    df = spark.createDataFrame([(None, json.dumps(GRAPH)), (None, json.dumps(other)), (None, json.dumps(GRAPH)), (1, json.dumps(GRAPH))], "record_id bigint, payload string")
+    assert nested.nested_items(df, "record_id", "payload").count() == 12
+    t = nested.nested_tables(df, "record_id", "payload")
+    assert t["items"].count() == 12 and sorted((r.record_id or 0, r.label) for r in t["graphs"].collect()) == [(0, False), (0, True), (1, True)]
