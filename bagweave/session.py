@@ -5,10 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables written inside the innermost open `scratch`.
+_WRITTEN: list[list[DataFrame]] = []
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", name: str = "bagweave") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
@@ -56,9 +62,22 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.conf.set(cleanup, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._bagweave_path = path
+    if _WRITTEN:
+        _WRITTEN[-1].append(table)
     return table
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Discards at its end every table that was written inside it; results must be written or read before."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for table in _WRITTEN.pop():
+            discard(table)
+
+
 def discard(table: DataFrame | None) -> None:
     """Removes the files of a table that `materialize` returned; nothing that still reads it may be run afterwards."""
     path = getattr(table, "_bagweave_path", None)
