@@ -113,7 +113,7 @@ with recursive own as (
   where e.entity_id is not null and e.entity_id <> 0 and e.bag_id in (select bag_id from bags where list_bag_id is null)
 ), held as (
   select distinct b.bag_id, coalesce(b.list_bag_id, b.bag_id) as list_id from bags b
-  where coalesce(b.list_bag_id, b.bag_id) in (select list_id from own)
+  where coalesce(b.list_bag_id, b.bag_id) in (select bag_id from bags where list_bag_id is null)
 ), shared as (
   select entity_id from own group by entity_id having count(*) > 1
 ), star as (
@@ -121,7 +121,7 @@ with recursive own as (
 ), edge as (
   select a, b from star union select b, a from star
 ), reach(a, b) as (
-  select distinct list_id, list_id from own
+  select distinct list_id, list_id from held
   union
   select r.a, e.b from reach r join edge e on r.b = e.a
 ), root as (

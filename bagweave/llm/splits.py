@@ -1,12 +1,13 @@
 """Train, validation and test splits that keep related bags together.
 
-Bags are related when their entity lists share an entity, directly or through other bags. The components are found by
-random-mate contraction; whole components are then dealt to the splits by cumulative weight within strata of their
+Bags are related when they have the same entity list or their lists share an entity, directly or through other bags. A
+list that `list_bag_id` shares is one list, so its bags stay together even if only dummies stand in it. The components
+are found by random-mate contraction; whole components are then dealt to the splits by cumulative weight within strata of their
 share of true labels.
 
 Results for special input: rows without bag are left out; dummies (entity 0 or NULL), and rows of bags that the table
-of bags doesn't have, link nothing; a bag that shares the list of a bag which has no list of its own has an empty list;
-copies count once; a bag without label counts by its weight only; empty tables give empty results.
+of bags doesn't have, link nothing; a bag that shares the list of a bag which has no list of its own, or isn't in the table, is related to
+none; copies count once; a bag without label counts by its weight only; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,18 +23,21 @@ SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 #: A component above this share of all bags is placed by itself; there are fewer than 1 / GIANT of them.
 GIANT = 0.01
 _BUCKETS = 512
+#: Edges left over by the rounds of contraction that one task contracts at once; a dozen rounds would go to so few.
+FINISH = 4096
 
 
 def bag_components(bags: DataFrame, entities: DataFrame, seed: int = 17) -> DataFrame:
-    """(bag_id, root) for each bag with a list that has an entity; root is equal for related bags."""
-    held = bags.where("bag_id is not null").select("bag_id", F.col("list_bag_id").alias("shared")).groupBy("bag_id").agg(F.max("shared").alias("shared"))
+    """(bag_id, root) for each bag whose list is known; root is equal for related bags."""
+    held = bags.where("bag_id is not null").groupBy("bag_id").agg(F.max("list_bag_id").alias("shared"))
+    held = materialize(held)
     owners = held.where("shared is null").select(F.col("bag_id").alias("list_id"))
     real = entities.where("entity_id is not null and entity_id <> 0").select(F.col("bag_id").alias("list_id"), "entity_id").distinct()
     rows = materialize(real.join(owners, "list_id", "left_semi"))
     first = rows.groupBy("entity_id").agg(F.min("list_id").alias("u"), F.count("*").alias("n")).where("n > 1")
     edges = rows.join(first, "entity_id").select("u", F.col("list_id").alias("v"))
-    labels = random_mate(edges, seed)
-    lists = rows.select("list_id").distinct().join(labels, F.col("list_id") == F.col("v"), "left").select("list_id", F.coalesce("root", "list_id").alias("root"))
+    labels = random_mate(edges, seed, FINISH)
+    lists = owners.join(labels, F.col("list_id") == F.col("v"), "left").select("list_id", F.coalesce("root", "list_id").alias("root"))
     return held.select("bag_id", F.coalesce("shared", "bag_id").alias("list_id")).join(lists, "list_id").select("bag_id", "root")
 
 

@@ -111,10 +111,10 @@ def test_related_bags(spark):
     bags = [(1, True, None, "s"), (2, None, None, None), (3, False, None, "s"), (4, True, 3, "s"), (5, True, None, "s"), (6, True, 5, "s"), (1, True, None, "s"), (None, True, None, "s"), (8, True, 99, "s")]
     entities = [(1, 7, ""), (2, 7, ""), (2, 8, ""), (3, 9, ""), (5, 0, ""), (99, 9, ""), (99, 8, ""), (None, 7, ""), (3, None, ""), (1, 7, "")]
     found = splits.related_bags(spark.createDataFrame(bags, BAGS), spark.createDataFrame(entities, ENTITIES))
-    assert {(r.bag_id, r.group_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+    assert {(r.bag_id, r.group_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)}
     dealt = splits.grouped_splits(spark.createDataFrame(bags, BAGS), spark.createDataFrame(entities, ENTITIES)).collect()
     of = {r.bag_id: r.split for r in dealt}
-    assert set(of) == {1, 2, 3, 4, 5, 6, 8} and of[1] == of[2] and of[3] == of[4] and len(dealt) == 7
+    assert set(of) == {1, 2, 3, 4, 5, 6, 8} and of[1] == of[2] and of[3] == of[4] and of[5] == of[6] and len(dealt) == 7
 
 
 def test_split_shares(spark):
