@@ -4,11 +4,15 @@ Texts are normalised (character references read, case folded, invisible characte
 letter, mark nor digit a separator) and seen as words with one space before each. A match holds at least `min_words`
 words in a row of an item, of which one in `per_edit` may be changed, added or missing. The q-gram lemma bounds from
 below how many character q-grams such a passage and its copy share: each edited word destroys at most its length plus
-q of them. So for every item the least number over all its passages is known beforehand.
+q of them. So for every item the least number over all its passages is known beforehand. It is positive for the usual
+q with all but very short words; an item whose bound isn't gets a shorter q, with which every bound is positive
+(`gram_size`): even of words of one character a passage of 7 k words keeps 12 k characters in k + 1 runs.
 
 Filter: the q-grams of a document are looked up in the items' index; documents without a stretch dense in known
-q-grams go no further. The others count, for each item, the shared q-grams in overlapping diagonal bands; a band that
-meets the item's bound is verified by banded alignment of the words, which is exact in its band.
+q-grams go no further. The others count, for each item, the shared q-grams in overlapping diagonal bands. Diagonals are
+measured in words: an edit moves them by one word at most, however long the word is that was added, so a band as wide as
+a passage has edits holds all its hits. A band that meets the item's bound is verified by banded alignment of the words,
+over all diagonals that a passage around its hits can reach. So nothing that aligns is lost.
 
 The items are a fixed set; they are checked against a bound and go in blocks of at most `block_chars` characters, each
 of which is broadcast and compared with all documents. No document is shuffled.
@@ -127,7 +131,7 @@ def _windows(min_words: int, per_edit: int) -> list[int]:
 def bound(lengths: np.ndarray, q: int, min_words: int, per_edit: int) -> int:
     """The fewest q-grams that a passage of an item (word lengths with their space) shares with a copy of it.
 
-    Taken over passages of the sizes of _windows, with the edits on their longest words; at least 1.
+    Taken over passages of the sizes of _windows, with the edits on their longest words; may be 0 or less.
     """
     least, n = None, len(lengths)
     for size in (s for s in _windows(min_words, per_edit) if s <= n):
@@ -135,7 +139,16 @@ def bound(lengths: np.ndarray, q: int, min_words: int, per_edit: int) -> int:
         longest = np.sort(windows, axis=1)[:, -(size // per_edit) :]
         shared = windows.sum(1) - q + 1 - (longest + q - 1).sum(1)
         least = int(shared.min()) if least is None else min(least, int(shared.min()))
-    return max(1, least or 1)
+    return 1 if least is None else least
+
+
+def gram_size(lengths: np.ndarray, q: int, min_words: int, per_edit: int) -> tuple[int, int]:
+    """(the largest size up to q whose bound is positive, that bound); one character each is always enough unless
+    per_edit is 1."""
+    for size in range(q, 0, -1):
+        if (n := bound(lengths, size, min_words, per_edit)) > 0:
+            return size, n
+    raise ValueError("a passage need not share anything with its copy")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, low: int, high: int, min_words: int, per_edit: int) -> bool:
@@ -174,130 +187,137 @@ def aligned(a: np.ndarray, b: np.ndarray, low: int, high: int, min_words: int, p
 
 
 @dataclass
-class Index:
-    """The q-grams of a block of items: sorted hashes with the items and places that have them."""
+class Grams:
+    """The q-grams of the items that use this q: sorted hashes with the items and places that have them."""
 
-    ids: list
-    words: list[np.ndarray]
-    starts: list[np.ndarray]
-    bounds: np.ndarray
+    q: int
     known: np.ndarray
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
-    q: int
+    least: int
+
+
+@dataclass
+class Index:
+    """A block of items, and their q-grams by q."""
+
+    ids: list
+    words: list[np.ndarray]
+    starts: list[np.ndarray]
+    bounds: np.ndarray
+    grams: list[Grams]
 
     @classmethod
     def of(cls, ids: list, texts: list[str], q: int, min_words: int, per_edit: int) -> Index:
         chars, cuts = normalise(texts)
-        words, starts, bounds, hashes, items, places = [], [], [], [], [], []
+        words, starts, bounds, parts = [], [], np.ones(len(ids), np.int64), {}
         for i in range(len(ids)):
             own = chars[cuts[i] : cuts[i + 1]]
             w, s = words_of(own)
             words.append(w)
             starts.append(s)
-            bounds.append(bound(np.diff(np.append(s, len(own))), q, min_words, per_edit))
             if len(w) >= min_words:
-                h = grams(own, q)
-                hashes.append(h)
-                items.append(np.full(len(h), i, np.int32))
-                places.append(np.arange(len(h), dtype=np.int32))
-        joined = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((hashes, np.uint64), (items, np.int32), (places, np.int32))]
-        order = np.argsort(joined[0], kind="stable")
-        hashes, items, places = (x[order] for x in joined)
-        known, first = np.unique(hashes, return_index=True)
-        bits = np.zeros(1 << 24, bool)
-        bits[(known >> np.uint64(40)).astype(np.int64)] = True
-        return cls(ids, words, starts, np.array(bounds), known, np.append(first, len(hashes)), items, places, bits, q)
+                size, bounds[i] = gram_size(np.diff(np.append(s, len(own))), q, min_words, per_edit)
+                h = grams(own, size)
+                parts.setdefault(size, []).append((h, np.full(len(h), i, np.int32), np.arange(len(h), dtype=np.int32)))
+        made = []
+        for size, part in sorted(parts.items()):
+            hashes, items, places = (np.concatenate(x) for x in zip(*part, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            hashes, items, places = (x[order] for x in (hashes, items, places))
+            known, first = np.unique(hashes, return_index=True)
+            bits = np.zeros(1 << 24, bool)
+            bits[(known >> np.uint64(40)).astype(np.int64)] = True
+            made.append(Grams(size, known, np.append(first, len(hashes)), items, places, bits, int(bounds[np.unique(items)].min())))
+        return cls(ids, words, starts, bounds, made)
 
 
 def _matches(index: Index, min_words: int, per_edit: int):
-    q, edits = index.q, min_words // per_edit + 1
-    longest = max((int(np.diff(s).max()) for s in index.starts if len(s) > 1), default=1)
-    #: how far the words added or missing in a passage of about min_words words move its diagonal
-    drift = edits * min(longest, 24) + q
-    least = int(index.bounds.min()) if len(index.bounds) else 1
     most = _windows(min_words, per_edit)[-1]
-    #: characters of the longest passage of `most` words of each item
-    spans = np.array([int((np.append(s, s[-1:] + longest)[min(most, len(s)) :] - np.append(s, s[-1:] + longest)[: len(s) + 1 - min(most, len(s))]).max()) if len(s) else 0 for s in index.starts])
-    stretch = int(spans.max()) + drift if len(spans) else 0
-
-    def of_document(chars: np.ndarray, hit: np.ndarray, hashes: np.ndarray) -> list[int]:
-        """Items with a passage in one document; hit: its places with a known q-gram."""
-        slot = np.searchsorted(index.known, hashes[hit])
-        counts = index.first[slot + 1] - index.first[slot]
+    #: edits of the largest passage: as many words its diagonals and the document's stretch may differ by
+    edits = most // per_edit
+
+    def of_document(g: Grams, doc_words: np.ndarray, hit: np.ndarray, slot: np.ndarray, at_word: np.ndarray, done: set) -> None:
+        """Adds the items with a passage in one document; hit: its places with a known q-gram, at_word: their words."""
+        counts = g.first[slot + 1] - g.first[slot]
         total = int(counts.sum())
-        which = np.repeat(index.first[slot] - (np.cumsum(counts) - counts), counts) + np.arange(total)
-        items, places = index.item[which].astype(np.int64), index.place[which].astype(np.int64)
-        diagonal = np.repeat(hit, counts) - places
-        lowest = int(diagonal.min())
-        band = (diagonal - lowest) // drift
+        which = np.repeat(g.first[slot] - (np.cumsum(counts) - counts), counts) + np.arange(total)
+        items, places = g.item[which].astype(np.int64), g.place[which].astype(np.int64)
+        own_word = np.empty(total, np.int64)
+        for i in np.unique(items):
+            of = items == i
+            own_word[of] = np.searchsorted(index.starts[i], places[of], side="right") - 1
+        diagonal = np.repeat(at_word, counts) - own_word
+        lowest, width = int(diagonal.min()), edits + 1
+        band = (diagonal - lowest) // width
         span = int(band.max()) + 3
-        # a band and the next one, so that every set of diagonals within `drift` lies in one
-        keys, at, each = np.unique(np.concatenate([items * span + band + 1, items * span + band]), return_inverse=True, return_counts=True)
-        ok = each >= index.bounds[keys // span]
-        chosen = np.flatnonzero(ok[at])
+        # a band and the next one, so that all diagonals of a passage lie in one such pair
+        _, at, each = np.unique(np.concatenate([items * span + band + 1, items * span + band]), return_inverse=True, return_counts=True)
+        chosen = np.flatnonzero((each >= index.bounds[np.concatenate([items, items])[np.argsort(at, kind="stable")[np.cumsum(each) - each]]])[at])
         if len(chosen) == 0:
-            return []
-        # within a band, as many hits as the bound asks for must lie in the length of one passage
-        place = places[chosen % total]
-        order = np.lexsort((place, at[chosen]))
-        at_, p_, d_ = at[chosen][order], place[order], diagonal[chosen % total][order]
-        item_ = keys[at_] // span
+            return
+        # within a band, as many hits as the bound asks for must lie in the words of one passage
+        word = own_word[chosen % total]
+        order = np.lexsort((word, at[chosen]))
+        at_, w_, d_, item_ = at[chosen][order], word[order], diagonal[chosen % total][order], items[chosen % total][order]
         end = np.arange(len(at_)) + index.bounds[item_] - 1
         ends = np.minimum(end, len(at_) - 1)
-        dense = (end < len(at_)) & (at_[ends] == at_) & (p_[ends] - p_ <= spans[item_])
+        dense = (end < len(at_)) & (at_[ends] == at_) & (w_[ends] - w_ < most)
         if not dense.any():
-            return []
-        doc_words, doc_starts = words_of(chars)
-        found, done, low_at = [], set(), np.flatnonzero(dense)
+            return
+        low_at = np.flatnonzero(dense)
         # neighbouring dense places of a band make one region
-        new = np.concatenate([[True], (at_[low_at[1:]] != at_[low_at[:-1]]) | (p_[low_at[1:]] - p_[low_at[:-1]] > spans[item_[low_at[1:]]])])
+        new = np.concatenate([[True], (at_[low_at[1:]] != at_[low_at[:-1]]) | (w_[low_at[1:]] - w_[low_at[:-1]] > most)])
         cuts = np.append(np.flatnonzero(new), len(low_at))
         regions = [(int(low_at[x]), int(ends[low_at[y - 1]]) + 1) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         for x, y in sorted(regions, key=lambda r: r[0] - r[1]):
             item = int(item_[x])
             if item in done:
                 continue
-            d, p, starts = d_[x:y], p_[x:y], index.starts[item]
+            d, w, own = d_[x:y], w_[x:y], index.words[item]
             # the words that the region's hits and a passage around them cover
-            v = max(0, int(np.searchsorted(starts, p.min(), side="right")) - 1 - most)
-            u = int(np.searchsorted(starts, p.max() + q)) + most
-            a = max(0, int(np.searchsorted(doc_starts, (d + p).min(), side="right")) - 1 - 2 * most)
-            b = int(np.searchsorted(doc_starts, (d + p).max() + q)) + 2 * most
-            w = np.searchsorted(doc_starts, d + p, side="right") - np.searchsorted(starts, p, side="right") - a + v
-            if aligned(index.words[item][v:u], doc_words[a:b], int(w.min()) - 1, int(w.max()) + 1, min_words, per_edit):
+            v, u = max(0, int(w.min()) - most), int(w.max()) + most + 1
+            a, b = max(0, int((d + w).min()) - most - edits), int((d + w).max()) + most + edits + 1
+            low, high = int(d.min()) - a + v, int(d.max()) - a + v
+            # most true passages align near the hits' own diagonals; only the others need all that can be reached
+            if any(aligned(own[v:u], doc_words[a:b], low - more, high + more, min_words, per_edit) for more in (1, edits)):
                 done.add(item)
-                found.append(item)
-        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, items = [], []
             chars, cuts = normalise(batch.column(1).to_pylist())
-            hashes = grams(chars, q)
-            known = index.filter[(hashes >> np.uint64(40)).astype(np.int64)] if len(hashes) else np.empty(0, bool)
-            hits = np.flatnonzero(known)
-            if len(hits) and len(index.known):
-                slot = np.minimum(np.searchsorted(index.known, hashes[hits]), len(index.known) - 1)
-                hits = hits[index.known[slot] == hashes[hits]]
-            else:
-                hits = hits[:0]
-            doc = np.searchsorted(cuts, hits, side="right") - 1
-            hits_in = hits + q <= cuts[doc + 1]
-            hits, doc = hits[hits_in], doc[hits_in]
-            # the `least`th hit from each on must come within a stretch, or no band can meet any item's bound
-            if len(hits) >= least:
+            space = chars == _SPACE
+            word_of = np.cumsum(space) - 1
+            found: dict[int, set] = {}
+            words = None
+            for g in index.grams:
+                hashes = grams(chars, g.q)
+                hits = np.flatnonzero(g.filter[(hashes >> np.uint64(40)).astype(np.int64)])
+                if len(hits) == 0:
+                    continue
+                slot = np.minimum(np.searchsorted(g.known, hashes[hits]), len(g.known) - 1)
+                same = g.known[slot] == hashes[hits]
+                hits, slot = hits[same], slot[same]
+                doc = np.searchsorted(cuts, hits, side="right") - 1
+                inside = hits + g.q <= cuts[doc + 1]
+                hits, slot, doc = hits[inside], slot[inside], doc[inside]
+                # the `least`th hit from each on must come within the words of a passage, or no band meets any bound
+                if len(hits) < g.least:
+                    continue
+                word = word_of[hits]
                 near = np.zeros(len(hits), bool)
-                ahead = hits[least - 1 :] - hits[: len(hits) - least + 1]
-                near[: len(ahead)] = (ahead <= stretch) & (doc[least - 1 :] == doc[: len(doc) - least + 1])
+                ahead = word[g.least - 1 :] - word[: len(hits) - g.least + 1]
+                near[: len(ahead)] = (ahead < most + edits) & (doc[g.least - 1 :] == doc[: len(doc) - g.least + 1])
                 for k in np.unique(doc[near]):
+                    if words is None:
+                        words = words_of(chars)[0]
                     lo, hi = np.searchsorted(doc, [k, k + 1])
-                    text = slice(int(cuts[k]), int(cuts[k + 1]))
-                    found = of_document(chars[text], hits[lo:hi] - cuts[k], hashes[text])
-                    rows += [int(k)] * len(found)
-                    items += [index.ids[i] for i in found]
+                    first, last = word_of[cuts[k]], word_of[cuts[k + 1] - 1] + 1
+                    of_document(g, words[first:last], hits[lo:hi] - cuts[k], slot[lo:hi], word[lo:hi] - first, found.setdefault(int(k), set()))
+            rows = [k for k, of in found.items() for _ in of]
+            items = [index.ids[i] for of in found.values() for i in of]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64())], ["id", "item_id"])
 
     return run

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,6 +320,33 @@ def test_leaks(spark):
     assert leakage.leaked(d, b.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("longest", [1, 2, 9])
+def test_leak_filter_loses_nothing(longest):
+    """Copies with edits, among them words of up to 500 characters, of items with words as short as one character:
+    what aligns over all diagonals is found."""
+    rng = random.Random(longest)
+    pick = lambda n, of="abcdefghijklmnop": ["".join(rng.choice(of) for _ in range(rng.randint(1, longest))) for _ in range(n)]
+    items = [pick(rng.choice([20, 21, 40, 60])) for _ in range(20)]
+    docs = []
+    for i in range(200):
+        own = items[i % 20]
+        start = rng.randrange(max(1, len(own) - 19))
+        passage = own[start : start + rng.choice([20, 21, 28, 35])]
+        for _ in range(rng.choice([1, len(passage) // 7, len(passage) // 7 + 1])):
+            at, long = rng.randrange(len(passage)), "q" * rng.choice([1, 30, 100, 200, 500])
+            passage[at : at + rng.randrange(2)] = rng.choice([[long], []])
+        docs.append(" ".join(pick(rng.randrange(40)) + passage + pick(rng.randrange(40))))
+    index = leakage.Index.of(list(range(20)), [" ".join(x) for x in items], leakage.Q, 20, 7)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(docs)], ["id", "text"])
+    out = next(iter(leakage._matches(index, 20, 7)(iter([batch]))))
+    chars, cuts = leakage.normalise(docs)
+    want = set()
+    for d in range(200):
+        w = leakage.words_of(chars[cuts[d] : cuts[d + 1]])[0]
+        want |= {(d, j) for j, x in enumerate(index.words) if leakage.aligned(x, w, -len(x), len(w), 20, 7)}
+    assert len(want) > 100 and set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)) == want
+
+
 def test_alignment_counts_edits():
     a = np.arange(40, dtype=np.uint64)
     ok = lambda b: leakage.aligned(a, np.array(b, np.uint64), -60, 60, 20, 7)
