@@ -188,13 +188,13 @@ def aligned(a: np.ndarray, b: np.ndarray, low: int, high: int, min_words: int, p
 
 @dataclass
 class Grams:
-    """The q-grams of the items that use this q: sorted hashes with the items and places that have them."""
+    """The q-grams of the items that use this q: sorted hashes with the items and the words that have them."""
 
     q: int
     known: np.ndarray
     first: np.ndarray
     item: np.ndarray
-    place: np.ndarray
+    word: np.ndarray
     filter: np.ndarray
     least: int
 
@@ -205,33 +205,32 @@ class Index:
 
     ids: list
     words: list[np.ndarray]
-    starts: list[np.ndarray]
     bounds: np.ndarray
     grams: list[Grams]
 
     @classmethod
     def of(cls, ids: list, texts: list[str], q: int, min_words: int, per_edit: int) -> Index:
         chars, cuts = normalise(texts)
-        words, starts, bounds, parts = [], [], np.ones(len(ids), np.int64), {}
+        words, bounds, parts = [], np.ones(len(ids), np.int64), {}
         for i in range(len(ids)):
             own = chars[cuts[i] : cuts[i + 1]]
             w, s = words_of(own)
             words.append(w)
-            starts.append(s)
             if len(w) >= min_words:
                 size, bounds[i] = gram_size(np.diff(np.append(s, len(own))), q, min_words, per_edit)
                 h = grams(own, size)
-                parts.setdefault(size, []).append((h, np.full(len(h), i, np.int32), np.arange(len(h), dtype=np.int32)))
+                word = np.cumsum(own == _SPACE)[: len(h)] - 1
+                parts.setdefault(size, []).append((h, np.full(len(h), i, np.int32), word.astype(np.int32)))
         made = []
         for size, part in sorted(parts.items()):
-            hashes, items, places = (np.concatenate(x) for x in zip(*part, strict=True))
+            hashes, items, word = (np.concatenate(x) for x in zip(*part, strict=True))
             order = np.argsort(hashes, kind="stable")
-            hashes, items, places = (x[order] for x in (hashes, items, places))
+            hashes, items, word = (x[order] for x in (hashes, items, word))
             known, first = np.unique(hashes, return_index=True)
             bits = np.zeros(1 << 24, bool)
             bits[(known >> np.uint64(40)).astype(np.int64)] = True
-            made.append(Grams(size, known, np.append(first, len(hashes)), items, places, bits, int(bounds[np.unique(items)].min())))
-        return cls(ids, words, starts, bounds, made)
+            made.append(Grams(size, known, np.append(first, len(hashes)), items, word, bits, int(bounds[np.unique(items)].min())))
+        return cls(ids, words, bounds, made)
 
 
 def _matches(index: Index, min_words: int, per_edit: int):
@@ -244,18 +243,14 @@ def _matches(index: Index, min_words: int, per_edit: int):
         counts = g.first[slot + 1] - g.first[slot]
         total = int(counts.sum())
         which = np.repeat(g.first[slot] - (np.cumsum(counts) - counts), counts) + np.arange(total)
-        items, places = g.item[which].astype(np.int64), g.place[which].astype(np.int64)
-        own_word = np.empty(total, np.int64)
-        for i in np.unique(items):
-            of = items == i
-            own_word[of] = np.searchsorted(index.starts[i], places[of], side="right") - 1
+        items, own_word = g.item[which].astype(np.int64), g.word[which].astype(np.int64)
         diagonal = np.repeat(at_word, counts) - own_word
         lowest, width = int(diagonal.min()), edits + 1
         band = (diagonal - lowest) // width
         span = int(band.max()) + 3
         # a band and the next one, so that all diagonals of a passage lie in one such pair
-        _, at, each = np.unique(np.concatenate([items * span + band + 1, items * span + band]), return_inverse=True, return_counts=True)
-        chosen = np.flatnonzero((each >= index.bounds[np.concatenate([items, items])[np.argsort(at, kind="stable")[np.cumsum(each) - each]]])[at])
+        keys, at, each = np.unique(np.concatenate([items * span + band + 1, items * span + band]), return_inverse=True, return_counts=True)
+        chosen = np.flatnonzero((each >= index.bounds[keys // span])[at])
         if len(chosen) == 0:
             return
         # within a band, as many hits as the bound asks for must lie in the words of one passage
@@ -281,8 +276,7 @@ def _matches(index: Index, min_words: int, per_edit: int):
             v, u = max(0, int(w.min()) - most), int(w.max()) + most + 1
             a, b = max(0, int((d + w).min()) - most - edits), int((d + w).max()) + most + edits + 1
             low, high = int(d.min()) - a + v, int(d.max()) - a + v
-            # most true passages align near the hits' own diagonals; only the others need all that can be reached
-            if any(aligned(own[v:u], doc_words[a:b], low - more, high + more, min_words, per_edit) for more in (1, edits)):
+            if aligned(own[v:u], doc_words[a:b], low - edits, high + edits, min_words, per_edit):
                 done.add(item)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
