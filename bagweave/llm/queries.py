@@ -58,8 +58,10 @@ def p5_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    packed = packing.pack_texts(read_table(spark, d, "documents"), "doc_id", "text")
-    return packed.where("n_pieces > 1").select(F.col("id").alias("doc_id")).distinct()
+    """Documents that the packing had to place in more than one container."""
+    placed = packing.pack_texts(read_table(spark, d, "documents"), "doc_id", "text")
+    held = placed.groupBy("id").agg(F.min("container_id").alias("first"), F.max("container_id").alias("last"))
+    return held.where("first < last").select(F.col("id").alias("doc_id"))
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
