@@ -2,7 +2,8 @@
 
 The states are range-partitioned by (game, time, subtime, state), so that each partition is a chunk of the global
 order, however large one game is. Every chunk encodes its runs locally; only its first and last run can continue in a
-neighbouring chunk. Those boundary runs, at most two a chunk, are joined by a prefix merge over the chunks in order.
+neighbouring chunk. Those boundary runs, at most two a chunk, are joined by a parallel prefix merge: on each level every
+task joins some neighbouring chunks into one, which again has two boundary runs, until one is left.
 
 Results for special input: states without game or index are left out; copies of a state (same game and index, next to
 each other in the order) count once, the earliest received one stays; a state without players, or with a player whose
@@ -24,6 +25,8 @@ from bagweave.session import materialize
 
 #: Added to the tolerances, since differences of decimal fractions carry rounding errors.
 EPS = 1e-9
+#: Chunks whose boundary runs one task of the prefix merge joins.
+FAN_IN = 32
 _SUMS = ("game_id", "first_idx", "last_idx", "n_states", "time_0", "subtime_0", "time_1", "subtime_1")
 _FLAT = ("team", "index", "x", "y", "orientation", "kick_power", "kick_angle")
 _SCHEMA = (
@@ -141,26 +144,24 @@ def _chunk_runs(distance: float, degrees: float):
     return run
 
 
-def _merge(distance: float, degrees: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Joins the boundary runs, which come in the order of the chunks."""
-        names, open_, made = list(_SUMS), None, []
-        for row in (r for b in batches for r in b.to_pylist()):
-            sums = {k: row[k] for k in names}
-            joins = False
-            if open_ is not None and open_[1]["is_last"] and row["is_first"] and open_[0]["game_id"] == row["game_id"]:
-                a, b = (np.array(x, dtype=float).reshape(-1, 7) for x in (open_[1]["tail"], row["head"]))
+def _merge(distance: float, degrees: float, fan_in: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Joins the boundary runs of some neighbouring chunks into those of one larger chunk and the runs between."""
+        rows = table.sort_by([("chunk", "ascending"), ("position", "ascending")]).to_pylist()
+        group, made = rows[0]["chunk"] // fan_in, [rows[0]]
+        for row in rows[1:]:
+            open_, joins = made[-1], False
+            if open_["is_last"] and row["is_first"] and open_["game_id"] == row["game_id"]:
+                a, b = (np.array(x, dtype=float).reshape(-1, 7) for x in (open_["tail"], row["head"]))
                 joins = bool(_links(np.array([len(a), len(b)]), np.concatenate([a, b]), np.array([False, row["head_new"]]), distance, degrees)[0])
             if joins:
-                open_[0].update(last_idx=sums["last_idx"], n_states=open_[0]["n_states"] + sums["n_states"], time_1=sums["time_1"], subtime_1=sums["subtime_1"])
-                open_ = (open_[0], row)
+                sums = {k: row[k] for k in ("last_idx", "time_1", "subtime_1", "tail", "is_last")}
+                made[-1] = open_ | sums | {"n_states": open_["n_states"] + row["n_states"]}
             else:
-                if open_ is not None:
-                    made.append(open_[0])
-                open_ = (sums, row)
-        if open_ is not None:
-            made.append(open_[0])
-        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in names], names)
+                made.append(row)
+        for i, row in enumerate(made):
+            row.update(chunk=group, position=i, is_first=i == 0, is_last=i + 1 == len(made))
+        return pa.Table.from_pylist(made, schema=table.schema)
 
     return run
 
@@ -180,7 +181,15 @@ def collapse_runs(states: DataFrame, distance: float = 0.05, degrees: float = 2.
     sorted_ = narrow.repartitionByRange(chunks, *order).sortWithinPartitions(*order, "received_at").withColumn("chunk", F.spark_partition_id()).drop("received_at")
     parts = materialize(sorted_.mapInArrow(_chunk_runs(distance, degrees), _SCHEMA))
     inner = parts.where("not is_first and not is_last").select(*_SUMS)
-    sums = ", ".join(f"{c} bigint" for c in _SUMS)
-    # at most two rows a chunk, whatever the number of states
-    outer = parts.where("is_first or is_last").repartition(1).sortWithinPartitions("chunk", "position").mapInArrow(_merge(distance, degrees), sums)
-    return inner.unionByName(outer).where("n_states >= 2").select("game_id", "first_idx", "last_idx", "n_states", (F.col("time_1") - F.col("time_0")).alias("duration_time"), (F.col("subtime_1") - F.col("subtime_0")).alias("duration_subtime"))
+    # a level joins FAN_IN neighbouring chunks in each task, so the last one has few rows however many chunks there are
+    edges, level = parts.where("is_first or is_last"), chunks
+    while level > 1:
+        merged = edges.groupBy(F.floor(F.col("chunk") / FAN_IN)).applyInArrow(_merge(distance, degrees, FAN_IN), _SCHEMA)
+        level = -(-level // FAN_IN)
+        if level == 1:
+            edges = merged
+            break
+        merged = materialize(merged)
+        inner = inner.unionByName(merged.where("not is_first and not is_last").select(*_SUMS))
+        edges = merged.where("is_first or is_last")
+    return inner.unionByName(edges.select(*_SUMS)).where("n_states >= 2").select("game_id", "first_idx", "last_idx", "n_states", (F.col("time_1") - F.col("time_0")).alias("duration_time"), (F.col("subtime_1") - F.col("subtime_0")).alias("duration_subtime"))

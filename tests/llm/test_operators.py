@@ -211,8 +211,9 @@ def state(game, i, x, new=False, received=0, orientation=0.0, kick=None, players
     return (game, i, i, 0, new, (own[::-1] if i % 3 else own) if players is None else players, received, "z")
 
 
-@pytest.mark.parametrize("chunks", [1, 3, 16])
-def test_runs(spark, chunks):
+@pytest.mark.parametrize(("chunks", "fan_in"), [(1, 32), (3, 32), (16, 2)])
+def test_runs(spark, monkeypatch, chunks, fan_in):
+    monkeypatch.setattr(runs, "FAN_IN", fan_in)
     rows = [state(1, i, 0.04 * i) for i in range(9)] + [state(1, 3, 0.12, received=9), state(1, 9, 5.0), state(1, 10, 5.05, new=True), state(1, 11, 5.0), state(1, 12, 5.0, kick=3.0), state(1, 13, 5.0, players=[]), state(1, 14, 5.0, players=[]), (None, 1, 1, 0, False, None, 0, "z"), (1, 15, None, None, None, None, 0, "z")]
     rows += [state(2, i, 0.0, orientation=3.0 * i) for i in range(3)] + [state(3, i, 0.0) for i in range(40)]
     random.Random(1).shuffle(rows)
