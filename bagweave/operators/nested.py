@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from bagweave.session import materialize
 
 GRAPH_CLASS = "Graph"
-KINDS = ("root", "node", "edge", "graph", "item")
+KINDS = ("root", "node", "edge", "graph", "list")
 _SPACE = re.compile(r"[ \t\n\r]*")
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?")
 _WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
@@ -103,14 +103,20 @@ def parse(payload: str | None):
     return payload is not None, payload
 
 
-def _scalar(value) -> str:
-    if isinstance(value, float) and value.is_integer() and abs(value) < 2**53:
-        value = int(value)
-    return json.dumps(value)
+def _encoder():
+    """Canonical JSON text of one value: sorted keys, no spaces; 1 and 1.0 stay different."""
+    escape = json.encoder.encode_basestring_ascii
+    if json.encoder.c_make_encoder is None:
+        return json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
+    make = json.encoder.c_make_encoder(None, None, escape, None, ":", ",", True, False, True)
+    return lambda x: "".join(make(x, 0))
 
 
 def merkle(value) -> tuple[dict[int, str], dict[str, str], list[tuple[str, str, str, str]]]:
-    """Identities of all objects in a value: by id(), their canonical bodies by identity, and the bridge rows."""
+    """Identities of all objects in a value: by id(), their canonical bodies by identity, and the bridge rows.
+
+    Bottom-up: an object is written with references in place of the objects below it, and hashed.
+    """
     of: dict[int, str] = {}
     bodies: dict[str, str] = {}
     edges: list[tuple[str, str, str, str]] = []
@@ -120,20 +126,26 @@ def merkle(value) -> tuple[dict[int, str], dict[str, str], list[tuple[str, str,
     while stack:
         x = stack.pop()
         order.append(x)
-        stack.extend(y for y in (x.values() if isinstance(x, dict) else x) if isinstance(y, (dict, list)))
-    text: dict[int, str] = {}
+        for y in x.values() if type(x) is dict else x:
+            if type(y) is dict or type(y) is list:
+                stack.append(y)
+    encode = _encoder()
+    # what stands for a box in the one around it, and the objects that it brings, by their places in it
+    stands: dict[int, dict | list] = {}
     below: dict[int, list[tuple[str, str]]] = {}
     for x in reversed(order):
-        if isinstance(x, list):
-            text[id(x)] = "[" + ",".join(text[id(y)] if isinstance(y, (dict, list)) else _scalar(y) for y in x) + "]"
-            below[id(x)] = [(str(i) + (f".{p}" if p else ""), h) for i, y in enumerate(x) if isinstance(y, (dict, list)) for p, h in below[id(y)]]
+        if type(x) is list:
+            inner = [(str(i), y) for i, y in enumerate(x) if type(y) is dict or type(y) is list]
+            stands[id(x)] = [stands[id(y)] if type(y) is dict or type(y) is list else y for y in x] if inner else x
+            below[id(x)] = [(f"{i}.{p}" if p else i, h) for i, y in inner for p, h in below[id(y)]]
             continue
-        body = "{" + ",".join(f"{json.dumps(k)}:{text[id(v)] if isinstance(v, (dict, list)) else _scalar(v)}" for k, v in sorted(x.items())) + "}"
+        inner = [(k, v) for k, v in x.items() if type(v) is dict or type(v) is list]
+        body = encode(x | {k: stands[id(v)] for k, v in inner} if inner else x)
         own = blake2b(body.encode(), digest_size=16).hexdigest()
-        of[id(x)], text[id(x)], below[id(x)] = own, f'{{"$ref":"{own}"}}', [("", own)]
+        of[id(x)], stands[id(x)], below[id(x)] = own, {"$ref": own}, [("", own)]
         if own not in bodies:
             bodies[own] = body
-            edges.extend((own, k, p, h) for k, v in x.items() if isinstance(v, (dict, list)) for p, h in below[id(v)])
+            edges.extend((own, k, p, h) for k, v in inner for p, h in below[id(v)])
     return of, bodies, edges
 
 
@@ -151,17 +163,27 @@ def graphs_of(value) -> list[dict]:
     return found
 
 
-def items_of(graph: dict) -> Iterator[tuple[str, str | None, int, dict]]:
-    """(path, parent's path, place, item) of each item below a graph."""
-    stack = [(None, graph)]
+def items_below(node: str, held: dict[str, list[tuple[int, str]]]) -> Iterator[tuple[str, str | None, int, str]]:
+    """(path, parent's path, place, item's identity) of each item below a graph, by the bridge rows of field `items`.
+
+    held: the items in an object's own `items`, as (place, identity).
+    """
+    stack = [(None, node)]
     while stack:
         path, holder = stack.pop()
-        items = holder.get("items")
-        for i, x in enumerate([items] if isinstance(items, dict) else items if isinstance(items, list) else []):
-            if isinstance(x, dict):
-                own = str(i) if path is None else f"{path}.{i}"
-                yield own, path, i, x
-                stack.append((own, x))
+        for place, item in held.get(holder, ()):
+            own = str(place) if path is None else f"{path}.{place}"
+            yield own, path, place, item
+            stack.append((own, item))
+
+
+def held_items(edges: list[tuple[str, str, str, str]]) -> dict[str, list[tuple[int, str]]]:
+    """From bridge rows, the items of each object: those right in its `items`; one object stands for a list of one."""
+    held: dict[str, list[tuple[int, str]]] = {}
+    for parent, field, ordinal, child in edges:
+        if field == "items" and "." not in ordinal:
+            held.setdefault(parent, []).append((int(ordinal or 0), child))
+    return held
 
 
 def rebuild(root: str, bodies: dict[str, str]):
@@ -175,55 +197,89 @@ def rebuild(root: str, bodies: dict[str, str]):
     return open_refs(json.loads(bodies[root]))["$"]
 
 
+_COLUMNS = {"record_id": None, "record": pa.string(), "kind": pa.string(), "graph_no": pa.int64(), "field": pa.string(), "ordinal": pa.string(), "node": pa.string(), "child": pa.string(), "body": pa.string()}
+_ITEM = {"item_path": pa.string(), "parent_path": pa.string(), "ordinal": pa.int64(), "node": pa.string(), "type": pa.string()}
+
+
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
 def shred(df: DataFrame, id_col: str, payload_col: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """All rows of the flat tables, tagged by `kind`; only the wanted kinds are made.
 
     root: record_id, node. node: node, body. edge: node (parent), field, ordinal (place in the field's arrays), child.
-    graph: record_id, graph_no, node, body. item: record_id, graph_no, item_path, parent_path, ordinal, node, body.
+    graph: record_id, record (identity of the whole payload), graph_no, node, body. list: node (a graph), items (the
+    items below it, from its bridge rows; once for each identity, however many records hold it).
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    columns = ("record_id", "kind", "graph_no", "item_path", "parent_path", "field", "ordinal", "node", "child", "body")
-    schema = f"record_id {id_type}, kind string, graph_no bigint, item_path string, parent_path string, field string, ordinal string, node string, child string, body string"
+    schema = f"record_id {id_type}, record string, kind string, graph_no bigint, field string, ordinal string, node string, child string, body string, items array<struct<item_path:string,parent_path:string,ordinal:bigint,node:string,type:string>>"
     wanted = frozenset(kinds)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in columns]
+            out: list[list] = [[] for _ in _COLUMNS]
+            items: list[list] = [[] for _ in _ITEM]
+            ends, listed = [0], set()
 
-            def put(*row, out=out) -> None:
+            def put(*row, out=out, ends=ends, items=items) -> None:
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
+                ends.append(len(items[0]))
 
             for record, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 good, value = parse(payload)
                 if not good:
                     continue
-                of, bodies, edges = merkle({"$": value} if "root" in wanted else value)
+                of, bodies, edges = merkle({"$": value})
+                root = next(reversed(of.values()))
                 if "root" in wanted:
-                    put(record, "root", None, None, None, None, None, next(reversed(of.values())), None, None)
+                    put(record, root, "root", None, None, None, root, None, None)
                 if "node" in wanted:
                     for node, body in bodies.items():
-                        put(None, "node", None, None, None, None, None, node, None, body)
+                        put(None, None, "node", None, None, None, node, None, body)
                 if "edge" in wanted:
                     for node, field, ordinal, child in edges:
-                        put(None, "edge", None, None, None, field, ordinal, node, child, None)
-                if wanted & {"graph", "item"}:
-                    for n, graph in enumerate(graphs_of(value)):
-                        if "graph" in wanted:
-                            put(record, "graph", n, None, None, None, None, of[id(graph)], None, bodies[of[id(graph)]])
-                        if "item" in wanted:
-                            for path, parent, place, item in items_of(graph):
-                                put(record, "item", n, path, parent, "items", str(place), of[id(item)], None, bodies[of[id(item)]])
-            kinds_of = [batch.schema.field(0).type, *(pa.int64() if c == "graph_no" else pa.string() for c in columns[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds_of, strict=True)], list(columns))
-
-    source = df.select(F.col(id_col).alias("record_id"), F.col(payload_col).alias("payload")).where("payload is not null").dropDuplicates()
-    return source.mapInArrow(rows, schema)
+                        put(None, None, "edge", None, field, ordinal, node, child, None)
+                if not wanted & {"graph", "list"}:
+                    continue
+                held = None
+                for n, graph in enumerate(graphs_of(value)):
+                    node = of[id(graph)]
+                    if "graph" in wanted:
+                        put(record, root, "graph", n, None, None, node, None, bodies[node])
+                    if "list" in wanted and node not in listed:
+                        listed.add(node)
+                        if held is None:
+                            held, types = held_items(edges), {}
+                        for path, parent, place, item in items_below(node, held):
+                            if item not in types:
+                                types[item] = _text(json.loads(bodies[item]).get("type"))
+                            for column, x in zip(items, (path, parent, place, item, types[item]), strict=True):
+                                column.append(x)
+                        put(None, None, "list", None, None, None, node, None, None)
+            kinds_of = [kind or batch.schema.field(0).type for kind in _COLUMNS.values()]
+            below = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(items, _ITEM.values(), strict=True)], list(_ITEM))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out, kinds_of, strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), below)], [*_COLUMNS, "items"])
+
+    return df.select(F.col(id_col).alias("record_id"), F.col(payload_col).alias("payload")).where("payload is not null").mapInArrow(rows, schema)
+
+
+def _graphs(rows: DataFrame) -> DataFrame:
+    """The graphs of `shred`'s rows; records that occur again whole count once."""
+    return rows.where("kind = 'graph'").select("record_id", "record", "graph_no", "node", "body").dropDuplicates(["record_id", "record", "graph_no"])
+
+
+def _items(rows: DataFrame) -> DataFrame:
+    """Each graph gets the items of its identity, which are stored once."""
+    lists = rows.where("kind = 'list'").select("node", "items").groupBy("node").agg(F.first("items").alias("items"))
+    return _graphs(rows).drop("body").join(lists, "node").select("record_id", "graph_no", F.inline("items"))
 
 
 def nested_items(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """One row per occurrence of an item: its graph, its parent item, and its identity."""
-    return shred(df, id_col, payload_col, ("item",)).select("record_id", "graph_no", "item_path", "parent_path", F.col("ordinal").cast("bigint").alias("ordinal"), "node", "body")
+    """(record_id, graph_no, item_path, parent_path, ordinal, node, type): one row per occurrence of an item, with its
+    graph, its parent item, and its identity. The payloads are read and hashed once."""
+    return _items(materialize(shred(df, id_col, payload_col, ("graph", "list"))))
 
 
 def _label(body: str) -> dict:
@@ -242,6 +298,6 @@ def nested_tables(df: DataFrame, id_col: str, payload_col: str) -> dict[str, Dat
         "roots": of("root").select("record_id", "node").distinct(),
         "nodes": of("node").select("node", "body").dropDuplicates(["node"]),
         "edges": of("edge").select(F.col("node").alias("parent"), "field", "ordinal", "child").distinct(),
-        "graphs": of("graph").select("record_id", "graph_no", "node", *(c.alias(k) for k, c in _label("body").items())),
-        "items": of("item").select("record_id", "graph_no", "item_path", "parent_path", F.col("ordinal").cast("bigint").alias("ordinal"), "node", F.get_json_object("body", "$.type").alias("type")),
+        "graphs": _graphs(rows).select("record_id", "graph_no", "node", *(c.alias(k) for k, c in _label("body").items())),
+        "items": _items(rows),
     }
