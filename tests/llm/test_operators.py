@@ -253,25 +253,33 @@ def test_pack(spark):
 TEXTS = [None, "", "short text", "Words and words. " * 300, "a" * 9000, "线圈" * 3000, "One\n\nTwo three?\n" * 400, "mixed 线圈，文字。" * 500, " " * 9000, "tail\ud800 " * 900, "x'y's don't " * 600]
 
 
-@pytest.mark.parametrize("size", [1 << 20, 700])
-def test_pieces(spark, size):
+@pytest.mark.parametrize("size", [1 << 20, 700, 90])
+def test_pieces(spark, tmp_path, size):
     texts = [t if t is None else tokens.well_formed(t) for t in TEXTS]
-    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id bigint, text string, row string")
-    rows = splitting.split_texts(df, "doc_id", "text", 200, 20, range_chars=size).collect()
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(3, texts[3], "copy")], "doc_id bigint, text string, row string")
+    rows = splitting.split_texts(df, "doc_id", "text", 200, 20, range_bytes=size).collect()
     count = lambda t: len(tokens.encoding(tokens.DEFAULT_VOCABULARY).encode_ordinary(t))
     by = {}
     for r in rows:
         by.setdefault(r.id, []).append(r)
     assert set(by) == {i for i, t in enumerate(texts) if t and count(t) > 200}
+    counter = splitting._Counter(tokens.DEFAULT_VOCABULARY)
     for i, pieces in by.items():
         pieces.sort(key=lambda r: r.piece_no)
         text = texts[i]
         assert pieces[0].char_start == 0 and pieces[-1].char_end == len(text)
+        # ranges of any size give the pieces of the whole text
+        assert [(p.char_start, p.char_end, p.n_tokens) for p in pieces] == splitting.cut(text, counter, 200, 20)
         for p in pieces:
-            assert count(text[p.char_start : p.char_end]) <= 200
+            assert count(text[p.char_start : p.char_end]) == p.n_tokens <= 200
         for a, b in itertools.pairwise(pieces):
             assert a.char_start < b.char_start <= a.char_end < b.char_end
             assert count(text[b.char_start : a.char_end]) >= 15
+    for i, text in enumerate(texts):
+        if text:
+            (tmp_path / f"{i}.txt").write_bytes(text.encode())
+    files = splitting.split_files(spark, f"{tmp_path}/*.txt", 200, 20, range_bytes=size).collect()
+    assert {(int(r.id.rsplit("/", 1)[1][:-4]), *r[1:]) for r in files} == {tuple(r) for r in rows} and len(files) == len(rows)
 
 
 def edits_of(words, seed, share):
