@@ -2,22 +2,25 @@
 
 Vectors are scaled to length 1, so the largest inner product is the smallest distance. Cells are trained on a bounded
 sample (TRAIN_ROWS rows); every row is indexed, in its nearest cell, and searches its own and some neighbouring cells.
-In a cell, the residual to the cell's centre is quantised in subspaces of SUB values with 16 codewords each (four bits).
-The quantisation is anisotropic: error parallel to the vector, which shifts the scores of its nearest neighbours, costs
-ETA times as much as error across it. A scan adds up the codewords' table entries for all queries of a cell, as one
-matrix product with the codewords that the codes look up; what passes it is reranked with the exact vectors.
+Once, where a row is read, its residual to the cell's centre is quantised in subspaces of SUB values with 16 codewords
+each: two codes a byte. The quantisation is anisotropic: error parallel to the vector, which shifts the scores of its
+nearest neighbours, costs ETA times as much as error across it. A query makes a table of its inner products with the 16
+codewords of each subspace, in 16-bit steps; a scan adds up, for each member of a cell, the entries that its codes look
+up. What passes the scan is reranked with the exact vectors.
 
 With max_distance the scan's threshold loses nothing: for a query within r of x, the score of the quantised x' differs
-from that of x by at most |x . (x - x')| + r |x - x'|, and both terms are known for each x. A query then searches the
-cells whose boundary is within `slack` x max_distance of it (1: nothing is lost; a smaller share only loses a neighbour
-whose difference points at one cell boundary with more than that share of its length). Without max_distance a query
-searches its `probes` nearest cells and reranks the RERANK best of each by the plain values, since between rows
-without near neighbours the codes' errors lose true ones (recall 0.87 on sf0.1 with cells that hold 0.95). Unless given, probes are set by measurement:
-some rows are compared with the whole table, and so many cells are searched that these hold `recall` of their true
-nearest rows (`probes_for`).
-
-Cells are divided into blocks of members and of queries by their share in the sample, so that no task gets an unbounded
-cell; a cell's blocks meet in all combinations and the partial results are merged.
+from that of x by at most |x . (x - x')| + r |x - x'|, and both terms are known for each x; what the tables' steps may
+take away is bounded too. A query then searches the cells whose boundary is within `slack` x max_distance of it (1:
+nothing is lost; a smaller share only loses a neighbour whose difference points at one cell boundary with more than that
+share of its length). Without max_distance a query searches its `probes` nearest cells and reranks the RERANK best of
+each group of cells. Unless given, probes are set by measurement: some rows are compared with the whole table, and so many cells are
+searched that these hold `recall` of their true nearest rows (`probes_for`).
+
+Two levels: neighbouring cells form groups, the unit of the shuffle, to which a row goes once as a member and once for
+all cells there that it searches. The sample bounds the number of cells, so with more rows they grow; a cell of more than
+SPLIT_ROWS members is divided by a k-means of its own in the task that has it, and with max_distance a query searches
+only the parts that it can reach. A group that is expected to have more than BLOCK_ROWS rows is divided into blocks of
+members and of queries, which meet in all combinations; the partial results are merged.
 
 Results for special input: rows without id, and vectors that are missing, of another length, not finite or all zero,
 are left out; a row that occurs again whole counts once; of equally near vectors those with the smallest ids count; an
@@ -36,11 +39,11 @@ from pyspark.sql import functions as F
 
 #: Bounds of the training sample and of the index made from it.
 TRAIN_ROWS, MAX_CELLS, CELL_ROWS = 40_000, 2048, 400
-#: Members or queries of one block of a cell.
-BLOCK_ROWS = 16_384
-SUB, CODES, RERANK = 2, 16, 64
+#: Rows of a group of cells, members of a cell that is divided, members or queries of one block of a group.
+GROUP_ROWS, SPLIT_ROWS, BLOCK_ROWS = 16_384, 1600, 65_536
+SUB, CODES, RERANK = 2, 16, 256
 #: Threshold of the score-aware loss; it gives the weight of parallel error as (d - 1) T^2 / (1 - T^2).
-THRESHOLD = 0.2
+THRESHOLD = 0.5
 #: Rows whose true nearest rows set the number of searched cells, and the share of these that must lie in them.
 ASKED, RECALL = 400, 0.95
 EPS = 1e-6
@@ -115,9 +118,10 @@ def _codebooks(residual: np.ndarray, x: np.ndarray, eta: float, rounds: int, rng
 
 @dataclass
 class Index:
-    """What all tasks share: cells, codewords, and the number of blocks of each cell."""
+    """What all tasks share: cells, their groups, codewords, and the number of blocks of each group."""
 
     centres: np.ndarray
+    group: np.ndarray
     apart: np.ndarray
     books: np.ndarray
     blocks: np.ndarray
@@ -139,9 +143,11 @@ class Index:
         padded[:, :dim], padded_x[:, :dim] = x[part] - centres[own[part]], x[part]
         books = _codebooks(padded, padded_x, eta, 6, rng)
         apart = np.sqrt(np.maximum(0, (centres**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * centres @ centres.T))
-        share = np.bincount(own, minlength=k) / max(1, len(x))
+        groups = min(k, max(16, -(-rows // GROUP_ROWS)))
+        group = _nearest_centre(centres, k_means(centres, groups, 8, rng))
+        share = np.bincount(group[own], minlength=groups) / max(1, len(x))
         blocks = np.maximum(1, np.ceil(share * rows / BLOCK_ROWS)).astype(np.int64)
-        return cls(centres, apart.astype(np.float32), books, blocks, eta, dim)
+        return cls(centres, group, apart.astype(np.float32), books, blocks, eta, dim)
 
     def encode(self, x: np.ndarray, residual: np.ndarray) -> np.ndarray:
         """Four-bit codes of unit vectors: the best codeword of each subspace given those of all others."""
@@ -192,42 +198,81 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
 
 
-_ROW = pa.schema([("cell", pa.int32()), ("members", pa.int32()), ("queries", pa.int32()), ("role", pa.int8()), ("id", pa.int64()), ("vec", pa.binary())])
+def pack_codes(codes: np.ndarray) -> np.ndarray:
+    """Two four-bit codes a byte."""
+    if codes.shape[1] % 2:
+        codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], axis=1)
+    return codes[:, ::2] | codes[:, 1::2] << 4
+
+
+def unpack_codes(packed: np.ndarray, width: int) -> np.ndarray:
+    """(subspaces, rows) of codes."""
+    return np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), -1)[:, :width].T.copy()
+
+
+_ROW = pa.schema([("grp", pa.int32()), ("members", pa.int32()), ("queries", pa.int32()), ("role", pa.int8()), ("id", pa.int64()), ("home", pa.int32()), ("cells", pa.binary()), ("code", pa.binary()), ("least", pa.float32()), ("vec", pa.binary())])
+_ROW_SQL = "grp int, members int, queries int, role tinyint, id bigint, home int, cells binary, code binary, least float, vec binary"
+
+
+def _binaries(rows: np.ndarray) -> list[bytes]:
+    data, size = np.ascontiguousarray(rows).tobytes(), rows.shape[1] * rows.itemsize
+    return [data[i : i + size] for i in range(0, len(data), size)]
 
 
-def _spread(shared, margin: float | None, probes: int, query_every: int):
+def _spread(shared, max_distance: float | None, margin: float | None, probes: int, query_every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row as a member of its cell's blocks (role 1), as a query of cells it searches (2), or both (3)."""
+        """Each row as a member of its cell's group (role 1), as a query of groups with cells it searches (2), or both (3)."""
         index: Index = shared.value
         for batch in batches:
             which, values = matrix(batch.column(1), index.dim)
             ids = batch.column(0).to_numpy(zero_copy_only=False)[which].astype(np.int64)
             if len(ids) == 0:
                 continue
-            packed = pa.array(pack_values(values), pa.binary())
-            home, row, cell = index.cells(unit(values).astype(np.float32), margin, probes)
+            packed = pack_values(values)
+            x = unit(values).astype(np.float32)
+            home, row, cell = index.cells(x, margin, probes)
             if query_every > 1:
                 asked = ids[row] % query_every == 0
                 row, cell = row[asked], cell[asked]
-            n, mix = len(index.centres), _mix(ids)
-            # the home cell of a query carries both roles
-            keys = np.concatenate([np.arange(len(ids)) * n + home, row * n + cell])
-            role = np.concatenate([np.ones(len(ids), np.int8), np.full(len(row), 2, np.int8)])
-            keys, at = np.unique(keys, return_inverse=True)
-            roles = np.bincount(at, weights=role, minlength=len(keys)).astype(np.int8)
-            row, cell = keys // n, keys % n
-            blocks = index.blocks[cell]
-            plain = blocks == 1
-            parts = [(row[plain], cell[plain], np.zeros(plain.sum(), np.int64), np.zeros(plain.sum(), np.int64), roles[plain])]
-            for r, c, b, o in zip(row[~plain], cell[~plain], blocks[~plain], roles[~plain], strict=True):
+            residual = x - index.centres[home]
+            codes = index.encode(x, residual)
+            error, r = residual - index.decode(codes), max_distance or 0.0
+            least = (1 - r**2 / 2) - np.abs((x * error).sum(1)) - r * np.sqrt((error * error).sum(1)) - EPS
+            codes = _binaries(pack_codes(codes))
+            # one row for all cells of a group that a query searches
+            order = np.lexsort((cell, index.group[cell], row))
+            row, cell = row[order], cell[order].astype(np.int32)
+            key = row * len(index.blocks) + index.group[cell]
+            cuts = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
+            cells = {int(key[a]): cell[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+            mix, out = _mix(ids), []
+            for i, (h, g) in enumerate(zip(home.tolist(), index.group[home].tolist(), strict=True)):
+                b = int(index.blocks[g])
+                asks = cells.pop(i * len(index.blocks) + g, None)
+                if b == 1:
+                    out.append((g, 0, 0, 1 if asks is None else 3, i, h, asks))
+                    continue
                 # a member meets every block of queries, a query every block of members
-                own, all_ = int(mix[r] % np.uint64(b)), np.arange(b)
-                if o & 1:
-                    parts.append((np.full(b, r), np.full(b, c), np.full(b, own), all_, np.full(b, 1, np.int8)))
-                if o & 2:
-                    parts.append((np.full(b, r), np.full(b, c), all_, np.full(b, own), np.full(b, 2, np.int8)))
-            row, cell, member, query, roles = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(member, pa.int32()), pa.array(query, pa.int32()), pa.array(roles, pa.int8()), pa.array(ids[row]), packed.take(pa.array(row))], schema=_ROW)
+                own = int(mix[i] % np.uint64(b))
+                out += [(g, own, q, 1, i, h, None) for q in range(b)]
+                if asks is not None:
+                    out += [(g, m, own, 2, i, -1, asks) for m in range(b)]
+            for k, asks in cells.items():
+                i, g = divmod(k, len(index.blocks))
+                b = int(index.blocks[g])
+                own = int(mix[i] % np.uint64(b))
+                out += [(g, m, own, 2, i, -1, asks) for m in range(b)]
+            grp, member, query, role, at, homes, asks = zip(*out, strict=True)
+            inside = [r != 2 for r in role]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(c, t) for c, t in ((grp, pa.int32()), (member, pa.int32()), (query, pa.int32()), (role, pa.int8()))),
+                    pa.array(ids[list(at)]), pa.array(homes, pa.int32()), pa.array(asks, pa.binary()),
+                    pa.array([codes[i] if m else None for i, m in zip(at, inside, strict=True)], pa.binary()),
+                    pa.array(least[list(at)], pa.float32()), pa.array([packed[i] for i in at], pa.binary()),
+                ],
+                schema=_ROW,
+            )
 
     return run
 
@@ -235,6 +280,31 @@ def _spread(shared, margin: float | None, probes: int, query_every: int):
 _FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("distance", pa.float64())])
 
 
+class _Tables:
+    """A block of queries' inner products with all codewords, in whole steps from the least entry of each subspace on."""
+
+    def __init__(self, q: np.ndarray, books: np.ndarray):
+        n, (m, _, sub) = len(q), books.shape
+        padded = np.zeros((n, m * sub), np.float32)
+        padded[:, : q.shape[1]] = q
+        entries = np.matmul(books, padded.reshape(n, m, sub).transpose(1, 2, 0))
+        low = entries.min(axis=(1, 2), keepdims=True)
+        # the largest sum fits into 16 bits
+        self.step = float(max((entries - low).max(), 1e-12)) / (65_535 // m)
+        self.base, self.slop = float(low.sum()), m * self.step
+        self.entries = ((entries - low) / np.float32(self.step)).astype(np.uint16)
+
+    def scan(self, codes: np.ndarray) -> np.ndarray:
+        """(members, queries) sums of the entries that the codes (subspaces, members) look up. A score is base + step x
+        sum, and at most slop more."""
+        total = self.entries[0].take(codes[0], axis=0)
+        part = np.empty_like(total)
+        for table, code in zip(self.entries[1:], codes[1:], strict=True):
+            table.take(code, axis=0, out=part, mode="clip")
+            total += part
+        return total
+
+
 def _rerank(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
     """Exact distances of pairs of unit vectors."""
     out = np.empty(len(row))
@@ -244,62 +314,115 @@ def _rerank(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> n
     return out
 
 
-def _search(shared, k: int, max_distance: float | None):
+def _parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, part of each row) of a cell with more members than the sample foresaw."""
+    rng = np.random.default_rng(len(x))
+    sample = x if len(x) <= TRAIN_ROWS else x[rng.choice(len(x), TRAIN_ROWS, replace=False)]
+    centres = k_means(sample, min(len(sample) // 8, -(-len(x) // CELL_ROWS)), 4, rng)
+    return centres, _nearest_centre(x, centres)
+
+
+def _search(shared, k: int, max_distance: float | None, margin: float | None):
+    def leaves(index: Index, cell: int, xm: np.ndarray, xq: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(members, queries) to be compared, as places in the cell's own."""
+        if len(xm) <= SPLIT_ROWS or margin is None:
+            yield np.arange(len(xm)), np.arange(len(xq))
+            return
+        centres, part = _parts(xm)
+        half = (centres**2).sum(1) / 2
+        score = xq @ centres.T - half
+        best = np.argmax(score, axis=1)
+        apart = np.sqrt(np.maximum(0, 2 * half[:, None] + 2 * half[None] - 2 * centres @ centres.T))
+        reached = score + np.float32(margin + EPS) * apart[best] >= score[np.arange(len(xq)), best][:, None]
+        for p in range(len(centres)):
+            yield np.flatnonzero(part == p), np.flatnonzero(reached[:, p])
+
     def run(table: pa.Table) -> pa.Table:
-        """One block of members and one of queries of a cell."""
+        """One block of members and one of queries of a group of cells."""
         index: Index = shared.value
-        role = table.column("role").to_numpy()
-        ids = table.column("id").to_numpy()
+        role, ids, home = (table.column(c).to_numpy() for c in ("role", "id", "home"))
         packed = table.column("vec").to_pylist()
         # rows that occur again whole count once; equal vectors are compared once
         vectors: dict[bytes, int] = {}
         of = np.fromiter((vectors.setdefault(v, len(vectors)) for v in packed), np.int64, len(packed))
         x = unit(unpack_values(list(vectors), index.dim))
-        members, queries = ({}, {})
+        x32 = x.astype(np.float32)
+        members, queries = {}, {}
         for roles, into in ((1, members), (2, queries)):
             chosen = np.flatnonzero(role & roles)
             for i, v in sorted(set(zip(ids[chosen].tolist(), of[chosen].tolist(), strict=True))):
                 into.setdefault(v, []).append(i)
-        m, q = np.fromiter(members, np.int64, len(members)), np.fromiter(queries, np.int64, len(queries))
-        if len(m) == 0 or len(q) == 0:
+        # members by cell, queries by each cell they search
+        inside, first = np.flatnonzero(role & 1), {}
+        for i in inside.tolist():
+            first.setdefault(int(of[i]), i)
+        m = np.fromiter(first.values(), np.int64, len(first))
+        asks, seen = {}, set()
+        cells_of = table.column("cells").to_pylist()
+        for i in np.flatnonzero(role & 2).tolist():
+            if (v := int(of[i])) not in seen:
+                seen.add(v)
+                for c in np.frombuffer(cells_of[i], np.int32).tolist():
+                    asks.setdefault(c, []).append(v)
+        if len(m) == 0 or not asks:
+            return _FOUND.empty_table()
+        codes = table.column("code").take(pa.array(m)).to_pylist()
+        codes = unpack_codes(np.frombuffer(b"".join(codes), np.uint8).reshape(len(m), -1), len(index.books))
+        least = table.column("least").to_numpy()[m]
+        cell_of, made = home[m], []
+        # the best of all cells so far: sums and members
+        asking = np.array(sorted(seen))
+        most = max(RERANK, 2 * k)
+        top = (np.full((len(asking), most), -np.inf, np.float32), np.zeros((len(asking), most), np.int32)) if max_distance is None else None
+        for cell in np.unique(cell_of).tolist():
+            if cell not in asks:
+                continue
+            own, q = np.flatnonzero(cell_of == cell), np.array(asks[cell])
+            for im, iq in leaves(index, cell, x32[of[m[own]]], x32[q]):
+                for i in range(0, len(iq), 1024):
+                    ask, mine = q[iq[i : i + 1024]], own[im]
+                    if len(mine) == 0:
+                        continue
+                    tables = _Tables(x32[ask], index.books)
+                    sums = tables.scan(codes[:, mine])
+                    offset = x32[ask] @ index.centres[cell]
+                    if max_distance is None:
+                        at = np.searchsorted(asking, ask)
+                        score = np.concatenate([top[0][at], sums.T * np.float32(tables.step) + (offset + np.float32(tables.base))[:, None]], axis=1)
+                        member = np.concatenate([top[1][at], np.broadcast_to(mine, (len(ask), len(mine)))], axis=1)
+                        best = np.argpartition(-score, most - 1, axis=1)[:, :most]
+                        top[0][at], top[1][at] = np.take_along_axis(score, best, 1), np.take_along_axis(member, best, 1)
+                        continue
+                    need = (least[mine][:, None] - (offset + np.float32(tables.base + tables.slop))[None]) * np.float32(1 / tables.step)
+                    col, row = np.nonzero(sums >= need - 1)
+                    a, b = ask[row], of[m[mine[col]]]
+                    distance = _rerank(x, x, a, b)
+                    near = distance <= max_distance + EPS
+                    made.append((a[near], b[near], distance[near]))
+        if top is not None:
+            row, col = np.nonzero(top[0] > -np.inf)
+            a, b = asking[row], of[m[top[1][row, col]]]
+            made.append((a, b, _rerank(x, x, a, b)))
+        if not made:
             return _FOUND.empty_table()
-        centre = index.centres[table.column("cell")[0].as_py()]
-        xm, x32 = x[m].astype(np.float32), x[q].astype(np.float32)
-        quantised = xm
-        if max_distance is not None:
-            quantised = index.decode(index.encode(xm, xm - centre)) + centre
-            error = xm - quantised
-            least = (1 - max_distance**2 / 2) - np.abs((xm * error).sum(1)) - max_distance * np.sqrt((error * error).sum(1)) - EPS
+        a, b, distance = (np.concatenate(c) for c in zip(*made, strict=True))
+        order = np.lexsort((distance, a))
+        a, b, distance = a[order], b[order], distance[order]
+        cuts = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a))
         out_a, out_b, out_d = [], [], []
-        for i in range(0, len(q), 1024):
-            scores = x32[i : i + 1024] @ quantised.T
-            if max_distance is not None:
-                row, col = np.divmod(np.flatnonzero(scores >= least), len(m))
-            else:
-                best = min(max(RERANK, 2 * k), len(m))
-                col = np.argpartition(-scores, best - 1, axis=1)[:, :best].ravel()
-                row = np.repeat(np.arange(len(scores)), best)
-            distance = _rerank(x, x, q[row + i], m[col])
-            if max_distance is not None:
-                near = distance <= max_distance + EPS
-                row, col, distance = row[near], col[near], distance[near]
-            order = np.lexsort((distance, row))
-            row, col, distance = row[order], col[order], distance[order]
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), len(row)) if len(row) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                askers = queries[int(q[row[a] + i])]
-                near = []
-                for j in range(a, b):
-                    # with ties, one more than k since a query doesn't find itself
-                    near += [(other, distance[j]) for other in members[int(m[col[j]])][: k + 1]]
-                    if len(near) > k and j + 1 < b and distance[j + 1] > distance[j]:
-                        break
-                near.sort(key=lambda p: (p[1], p[0]))
-                for asker in askers:
-                    mine = [p for p in near if p[0] != asker][:k]
-                    out_a += [asker] * len(mine)
-                    out_b += [p[0] for p in mine]
-                    out_d += [p[1] for p in mine]
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            near = []
+            for j in range(start, end):
+                # with ties, one more than k since a query doesn't find itself
+                near += [(other, distance[j]) for other in members[int(b[j])][: k + 1]]
+                if len(near) > k and j + 1 < end and distance[j + 1] > distance[j]:
+                    break
+            near.sort(key=lambda p: (p[1], p[0]))
+            for asker in queries[int(a[start])]:
+                mine = [p for p in near if p[0] != asker][:k]
+                out_a += [asker] * len(mine)
+                out_b += [p[0] for p in mine]
+                out_d += [p[1] for p in mine]
         return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_d, pa.float64())], schema=_FOUND)
 
     return run
@@ -385,9 +508,10 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10, max
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     if max_distance is None and probes is None:
         probes = probes_for(rows, shared, k)
-    spread = rows.mapInArrow(_spread(shared, None if max_distance is None else slack * max_distance, probes or 1, query_every), "cell int, members int, queries int, role tinyint, id bigint, vec binary")
-    found = spread.groupBy("cell", "members", "queries").applyInArrow(_search(shared, k, max_distance), "id bigint, other bigint, distance double")
-    # at most k rows of each cell that a query searched
+    margin = None if max_distance is None else slack * max_distance
+    spread = rows.mapInArrow(_spread(shared, max_distance, margin, probes or 1, query_every), _ROW_SQL)
+    found = spread.groupBy("grp", "members", "queries").applyInArrow(_search(shared, k, max_distance, margin), "id bigint, other bigint, distance double")
+    # at most k rows of each group that a query searched
     merged = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "other"))), 1, k).alias("best"))
     return merged.select("id", F.posexplode("best").alias("rank", "best")).select("id", F.col("best.other").alias("other"), F.col("best.distance").alias("distance"), (F.col("rank") + 1).cast("int").alias("rank"))
 

@@ -20,7 +20,12 @@ def unit_rows(n, dim, seed, spread=0.01):
     return np.round(x / np.linalg.norm(x, axis=1, keepdims=True) * 400)
 
 
-def test_pairs_against_brute_force(spark):
+@pytest.mark.parametrize(("block", "split"), [(65_536, 1600), (20, 1600), (65_536, 30)])
+def test_pairs_against_brute_force(spark, monkeypatch, block, split):
+    """Also with groups in blocks, and with cells that are divided further."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+    monkeypatch.setattr(vectors, "SPLIT_ROWS", split)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
     x = unit_rows(600, 16, 1)
     x[10] = x[11] = x[12]
     rows = [(i, v.tolist(), "a", "b") for i, v in enumerate(x)]
@@ -72,6 +77,20 @@ def test_nearest_recall_with_many_cells(spark, monkeypatch):
     assert recall[None] >= 0.9 > recall[8]
 
 
+def test_scan_is_within_its_bound():
+    """Four-bit codes, two a byte, and 16-bit tables give the scores of the codewords."""
+    x = vectors.unit(np.abs(np.random.default_rng(0).normal(size=(500, 37)))).astype(np.float32)
+    index = vectors.Index.train(x.astype(float), 500)
+    own = vectors._nearest_centre(x, index.centres)
+    codes = index.encode(x, x - index.centres[own])
+    packed = vectors.pack_codes(codes)
+    assert packed.shape == (500, 10) and (vectors.unpack_codes(packed, 19).T == codes).all()
+    tables = vectors._Tables(x[:40], index.books)
+    sums = tables.scan(vectors.unpack_codes(packed, 19))
+    true = index.decode(codes) @ x[:40].T - tables.base - tables.step * sums
+    assert sums.dtype == np.uint16 and true.min() >= -1e-5 and true.max() <= tables.slop + 1e-5
+
+
 def test_quantisation_favours_parallel_error():
     x = vectors.unit(np.abs(np.random.default_rng(0).normal(size=(3000, 64)))).astype(np.float32)
     index = vectors.Index.train(x.astype(float), 3000)
