@@ -428,8 +428,8 @@ def _search(shared, k: int, max_distance: float | None, margin: float | None):
     return run
 
 
-def train_index(df: DataFrame, id_col: str, vec_col: str, dim: int, seed: int = 7) -> Index | None:
-    """The index from a sample of at most about TRAIN_ROWS rows, chosen by a hash of their ids; None without rows."""
+def sample_of(df: DataFrame, id_col: str, vec_col: str, dim: int, seed: int) -> tuple[int, np.ndarray]:
+    """(rows of df, usable vectors of a sample of at most about TRAIN_ROWS rows, chosen by a hash of their ids)."""
     rows = df.count()
     space = 1 << 20
     take = min(space, int(space * TRAIN_ROWS / max(1, rows)) + 1)
@@ -440,8 +440,13 @@ def train_index(df: DataFrame, id_col: str, vec_col: str, dim: int, seed: int =
             _, values = matrix(batch.column(1), dim)
             yield pa.RecordBatch.from_arrays([pa.array(pack_values(values) if len(values) else [], pa.binary())], ["vec"])
 
-    sample = chosen.mapInArrow(packed, "vec binary").limit(2 * TRAIN_ROWS).toArrow().column("vec").to_pylist()
-    return Index.train(unpack_values(sorted(sample), dim), rows, seed) if sample else None
+    return rows, unpack_values(sorted(chosen.mapInArrow(packed, "vec binary").limit(2 * TRAIN_ROWS).toArrow().column("vec").to_pylist()), dim)
+
+
+def train_index(df: DataFrame, id_col: str, vec_col: str, dim: int, seed: int = 7) -> Index | None:
+    """The index from a bounded sample; None without usable rows."""
+    rows, sample = sample_of(df, id_col, vec_col, dim, seed)
+    return Index.train(sample, rows, seed) if len(sample) else None
 
 
 def probes_for(rows: DataFrame, shared, k: int, recall: float = RECALL, asked: int = ASKED, seed: int = 11) -> int:

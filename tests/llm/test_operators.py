@@ -170,28 +170,41 @@ def test_vector_clusters(spark):
     assert len(medoids) == len(got) and {m.rec_id for m in medoids} == {g[0] for g in got}
 
 
-def test_chance_of_a_link_does_not_fall_with_rows():
-    likeness = 1 - clusters.FALL * 0.45
-    chance = [1 - (1 - likeness**r) ** clusters.bands_for(r, 0.45) for r in map(clusters.band_rows, (78_000, 800_000, 8_000_000, 200_000_000))]
-    assert min(chance) >= 0.99 * chance[0]
-    # bands that share a pool of MinHashes find as many as independent ones
+@pytest.mark.parametrize("distance", [0.3, 0.45])
+def test_links_within_a_group_are_found(distance):
+    """Recall of single pairs at just below the distance, by bands alone; unlike pairs are never joined."""
     rng = np.random.default_rng(1)
-    x = vectors.unit(np.abs(rng.normal(size=(1500, 64))))
-    y = vectors.unit(np.abs(x + rng.normal(size=x.shape) * 0.03))
-    r, bands = 9, clusters.bands_for(9, 0.45)
-    assert bands * r > clusters.POOL
-    found = (clusters.band_keys(x, bands, r, 5) == clusters.band_keys(y, bands, r, 5)).any(1).mean()
-    fewer = (clusters.band_keys(x, clusters.BANDS, r, 5) == clusters.band_keys(y, clusters.BANDS, r, 5)).any(1).mean()
-    assert found > fewer + 0.1 and found > 0.6
+    x = vectors.unit(np.abs(rng.normal(size=(800, 128)) ** 3))
+    step = rng.normal(size=x.shape) * x.mean()
+    step -= (step * x).sum(1, keepdims=True) * x
+    angle = 2 * np.arcsin(distance * 0.99 / 2)
+    y = x * np.cos(angle) + vectors.unit(step) * np.sin(angle)
+    both = np.concatenate([x, y]).astype(np.float32)
+    label = clusters.group_components(both, np.ones(1600, bool), distance)
+    assert (label[800:] == label[:800]).mean() >= (0.95 if distance < 0.4 else 0.7)
+    near = np.sqrt(np.maximum(0, 2 - 2 * both @ both.T)) <= distance + 1e-3
+    assert all(near[i, label == label[i]].sum() > 1 for i in range(0, 1600, 50) if (label == label[i]).sum() > 1)
 
 
 def test_alike_rows_in_a_bucket_with_an_unlike_smallest_one(spark, monkeypatch):
     """All rows share one bucket, whose smallest id is like none of them."""
-    monkeypatch.setattr(clusters, "band_keys", lambda x, bands, rows, seed: np.ones((len(x), 1), np.uint64))
-    x = np.eye(8)[[0, 1, 1, 1, 2, 2, 3]]
+    monkeypatch.setattr(clusters, "band_key", lambda hashes, chosen: np.zeros(hashes.shape[1], np.uint64))
+    x = np.eye(8, dtype=np.float32)[[0, 1, 1, 1, 2, 2, 3]]
+    assert clusters.group_components(x, np.ones(7, bool), 0.3).tolist() == [0, 1, 1, 1, 4, 4, 6]
+    # guests are compared with rows at home only
+    assert clusters.group_components(x, np.arange(7) == 1, 0.3).tolist() == [0, 1, 1, 1, 4, 5, 6]
+
+
+@pytest.mark.parametrize("block", [100_000, 40])
+def test_groups_and_blocks_join_up(spark, monkeypatch, block):
+    monkeypatch.setattr(clusters, "GROUP_ROWS", 60)
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", block)
+    x = unit_rows(500, 32, 6, spread=0.15)
     df = spark.createDataFrame([(i, v.tolist(), "", "") for i, v in enumerate(x)], VEC)
-    _, parts = clusters.vector_links(df, "feature_id", "feature", 8, 0.3, bands=1)
-    assert {(r.rec_id, r.cluster_id) for r in clusters.clusters_of(parts, 2).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    _, parts = clusters.vector_links(df, "feature_id", "feature", 32, 0.3)
+    want = brute_clusters(vectors.unit(x), 0.3, 4)
+    got = {(r.rec_id, r.cluster_id) for r in clusters.clusters_of(parts, 4).collect()}
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
 @pytest.mark.parametrize("cap", [8192, 7])
