@@ -144,7 +144,9 @@ class Index:
         books = _codebooks(padded, padded_x, eta, 6, rng)
         apart = np.sqrt(np.maximum(0, (centres**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * centres @ centres.T))
         groups = min(k, max(16, -(-rows // GROUP_ROWS)))
-        group = _nearest_centre(centres, k_means(centres, groups, 8, rng))
+        # fitted on rows, so that groups have like numbers of them
+        group = np.unique(_nearest_centre(centres, k_means(x, groups, 8, rng)), return_inverse=True)[1]
+        groups = int(group.max()) + 1
         share = np.bincount(group[own], minlength=groups) / max(1, len(x))
         blocks = np.maximum(1, np.ceil(share * rows / BLOCK_ROWS)).astype(np.int64)
         return cls(centres, group, apart.astype(np.float32), books, blocks, eta, dim)
