@@ -153,7 +153,7 @@ def ends_with(text: Column, suffix: str) -> Column:
 
 
 def capitalised(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(text, 1, 1)), text.substr(F.lit(2), F.length(text)))
 
 
 def file_number(name: Column) -> Column:

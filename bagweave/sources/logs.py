@@ -6,6 +6,7 @@ file in parallel, and replayed inside the task that read them.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,25 +25,28 @@ def _new_item(item_id: int) -> dict:
     return {"id": item_id, "alive": False, "color": [0.0] * 3, "extent": [0.0] * 2, "grasped": False, "grasping": False, "location": [0.0] * 2, "orientation": 0.0, "orientation_velocity": 0.0, "type": "none", "velocity": [0.0] * 2}
 
 
-def replay_blocks(lines: Iterator[str]) -> Iterator[tuple[int, float, bool, list[dict]]]:
-    """(state_idx, time, cleared, items) for each `time sim` line, as it was before the line, and for the end."""
-    items: dict[int, dict] = {}
-    time, cleared, index = 0.0, False, 0
+class BlockReplay:
+    """The current state of a block-world log, which its lines change one by one."""
 
-    def snapshot():
-        return index, time, cleared, [dict(x) for x in items.values()]
+    def __init__(self, index: int = 0, time: float = 0.0, cleared: bool = False, items: dict[int, dict] | None = None):
+        self.index, self.time, self.cleared, self.items = index, time, cleared, items or {}
 
-    for line in lines:
+    def snapshot(self) -> tuple[int, float, bool, list[dict]]:
+        return self.index, self.time, self.cleared, [dict(x) for x in self.items.values()]
+
+    def feed(self, line: str) -> tuple[int, float, bool, list[dict]] | None:
+        """Takes over one line; a `time sim` line gives the state as it was before it."""
         args = line.split()
         if not args:
-            continue
-        command, args = args[0], args[1:]
+            return None
+        command, args, items = args[0], args[1:], self.items
         if command == "clear":
-            cleared = True
+            self.cleared = True
         elif command == "time":
             if args[:1] == ["sim"]:
-                yield snapshot()
-                index, cleared, time = index + 1, False, float(args[2])
+                made = self.snapshot()
+                self.index, self.cleared, self.time = self.index + 1, False, float(args[2])
+                return made
         elif command == "item":
             items[int(args[0])] = _new_item(int(args[0]))
         elif command == "grasp" or command == "release":
@@ -66,7 +70,21 @@ def replay_blocks(lines: Iterator[str]) -> Iterator[tuple[int, float, bool, list
                 item["orientation"] = float(values[0])
             elif command == "rotvel":
                 item["orientation_velocity"] = float(values[0])
-    yield snapshot()
+        return None
+
+
+def replay_blocks(lines: Iterator[str]) -> Iterator[tuple[int, float, bool, list[dict]]]:
+    """(state_idx, time, cleared, items) for each `time sim` line, as it was before the line, and for the end."""
+    replay = BlockReplay()
+    for line in lines:
+        if (made := replay.feed(line)) is not None:
+            yield made
+    yield replay.snapshot()
+
+
+#: States of a log that go to Spark at once.
+_STATES = 2000
+BLOCK_ROWS = f"log string, {_BLOCK_STATE}, items array<struct<{','.join(x.replace(' ', ':', 1) for x in _BLOCK_ITEM.split(', '))}>>"
 
 
 def read_block_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -75,11 +93,12 @@ def read_block_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, text in zip(part["log"], part["value"], strict=True):
-                for index, time, cleared, items in replay_blocks(iter(text.splitlines())):
-                    yield pd.DataFrame([(name, index, time, cleared, items)], columns=["log", "state_idx", "time", "cleared", "items"])
+                states = replay_blocks(iter(text.splitlines()))
+                while rows := [(name, *state) for state in itertools.islice(states, _STATES)]:
+                    yield pd.DataFrame(rows, columns=["log", "state_idx", "time", "cleared", "items"])
 
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log"), "value")
-    rows = files.mapInPandas(parse, f"log string, {_BLOCK_STATE}, items array<struct<{','.join(x.replace(' ', ':', 1) for x in _BLOCK_ITEM.split(', '))}>>")
+    rows = files.mapInPandas(parse, BLOCK_ROWS)
     return rows.select("log", "state_idx", "time", "cleared"), rows.select("log", "state_idx", F.explode("items").alias("item")).select("log", "state_idx", "item.*")
 
 
@@ -136,10 +155,10 @@ def read_game(text: str) -> Iterator[tuple]:
 
 
 def team_names(lines: DataFrame) -> DataFrame:
-    """(team, name) from the first `(team …)` line."""
-    first = lines.where(F.col("value").startswith("(team ")).limit(1)
+    """(log, team, name) from the first `(team …)` line of each log. lines: log, line_no, value."""
+    first = lines.where(F.col("value").startswith("(team ")).groupBy("log").agg(F.min_by("value", "line_no").alias("value"))
     part = lambda n: F.regexp_extract("value", r"^\(team \S+ (\S+) (\S+)", n)
-    return first.select(F.explode(F.array(F.struct(F.lit(0).alias("team"), part(1).alias("name")), F.struct(F.lit(1).alias("team"), part(2).alias("name")))).alias("t")).select("t.*")
+    return first.select("log", F.explode(F.array(F.struct(F.lit(0).alias("team"), part(1).alias("name")), F.struct(F.lit(1).alias("team"), part(2).alias("name")))).alias("t")).select("log", "t.*")
 
 
 def read_game_log(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +171,7 @@ def read_game_log(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(name, s, t, u, kind, team, i, [x, y], o) for s, t, u, kind, team, i, x, y, o in read_game(text)]
                 yield pd.DataFrame(rows, columns=["log", "state_idx", "time", "subtime", "kind", "team", "index", "location", "orientation"])
 
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log"), "value").mapInPandas(parse, schema)
+    return spark.read.text(path, wholetext=True).select(log_stem(F.input_file_name()).alias("log"), "value").mapInPandas(parse, schema)
 
 
 def command_path(game_path: str) -> str:
@@ -162,23 +181,44 @@ def command_path(game_path: str) -> str:
     return game_path[:-4] + ".rcl"
 
 
+def log_stem(name):
+    """What the files of one game have in common: the name of the game log without its ending."""
+    return F.regexp_replace(name, r"\.rc[gl]$", "")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(log, line_no, value): log is the file's `log_stem`; line_no rises within a file."""
+    return spark.read.text(path).select(log_stem(F.input_file_name()).alias("log"), F.monotonically_increasing_id().alias("line_no"), "value")
+
+
 def read_commands(spark: SparkSession, path: str) -> DataFrame:
-    """(time, subtime, team_name, index, power, angle, new_session) of kicks and session starts; others are left out."""
+    """(log, line_no, time, subtime, team_name, index, power, angle, new_session) of kicks and session starts; others are
+    left out."""
     head = F.regexp_extract("value", r"^(\d+),(\d+)\t", 1).try_cast("bigint")
     sub = F.regexp_extract("value", r"^(\d+),(\d+)\t", 2).try_cast("bigint")
     who = r"Recv (\w+)_(\d+): "
     kick = r"\(kick ([-+.\deE]+) ([-+.\deE]+)\)"
     get = lambda pattern, n: F.regexp_extract("value", pattern, n)
     session = F.col("value").rlike(r"\t\((\S+ ){2}Keepaway")
-    rows = spark.read.text(path).select(head.alias("time"), sub.alias("subtime"), F.nullif(get(who, 1), F.lit("")).alias("team_name"), get(who, 2).try_cast("bigint").alias("index"), get(kick, 1).try_cast("double").alias("power"), get(kick, 2).try_cast("double").alias("angle"), session.alias("new_session"))
+    rows = read_lines(spark, path).select("log", "line_no", head.alias("time"), sub.alias("subtime"), F.nullif(get(who, 1), F.lit("")).alias("team_name"), get(who, 2).try_cast("bigint").alias("index"), get(kick, 1).try_cast("double").alias("power"), get(kick, 2).try_cast("double").alias("angle"), session.alias("new_session"))
     return rows.where("time is not null and (new_session or (power is not null and team_name is not null and team_name <> 'Coach'))")
 
 
 def with_commands(states: DataFrame, commands: DataFrame, names: DataFrame) -> DataFrame:
-    """states with kick_power, kick_angle (NaN for none) and new_session; commands without a state are ignored."""
-    kicks = commands.where("power is not null").join(F.broadcast(names), F.col("team_name") == F.col("name")).groupBy("time", "subtime", "team", "index").agg(F.last("power").alias("kick_power"), F.last("angle").alias("kick_angle"))
-    sessions = commands.where("new_session").select("time", "subtime", F.lit(True).alias("new_session")).distinct()
-    joined = states.join(kicks, ["time", "subtime", "team", "index"], "left").join(sessions, ["time", "subtime"], "left")
+    """states with kick_power, kick_angle (NaN for none) and new_session, log by log.
+
+    Commands without a state are ignored; a kick by a player that its state doesn't show is an error. Of several kicks of
+    a player in one state the last one holds. names: log, team, name.
+    """
+    at, who = ["log", "time", "subtime"], ["log", "time", "subtime", "team", "index"]
+    last = lambda c: F.max_by(c, "line_no").alias(f"kick_{c}")
+    kicks = commands.where("power is not null").withColumnRenamed("team_name", "name").join(F.broadcast(names), ["log", "name"]).groupBy(*who).agg(last("power"), last("angle"))
+    shown = states.where("kind = 'player'").select(*who, F.lit(True).alias("shown")).distinct()
+    kicks = kicks.join(states.select(*at).distinct(), at, "left_semi").join(shown, who, "left")
+    missing = F.raise_error(F.concat(F.lit("no player "), F.col("index").cast("string"), F.lit(" at "), F.col("time").cast("string"))).cast("double")
+    kicks = kicks.select(*who, F.when(F.col("shown"), F.col("kick_power")).otherwise(missing).alias("kick_power"), "kick_angle")
+    sessions = commands.where("new_session").select(*at, F.lit(True).alias("new_session")).distinct()
+    joined = states.join(kicks, who, "left").join(sessions, at, "left")
     nan = F.lit(float("nan"))
     return joined.withColumns({"kick_power": F.coalesce("kick_power", nan), "kick_angle": F.coalesce("kick_angle", nan), "new_session": F.coalesce("new_session", F.lit(False))})
 

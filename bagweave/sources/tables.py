@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagweave.functions import vectors as V
+from bagweave.session import materialize
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
@@ -46,14 +48,18 @@ def bags_from_tables(labels: DataFrame, features: DataFrame, label_column: str)
         raise ValueError(f"no label {label_column}")
     key, other = labels.columns[0], features.columns[0]
     bags = labels.select(F.col(key).cast("bigint").alias("bag_id"), (F.col(label_column) != 0).alias("label"))
-    entities = features.withColumn("entity_id", F.monotonically_increasing_id()).withColumnRenamed(other, "bag_key")
+    # the rows have no key of their own; written, their numbers stay the same for every reader
+    entities = materialize(features.withColumn("entity_id", F.monotonically_increasing_id())).withColumnRenamed(other, "bag_key")
     return bags, entities.select(F.col("bag_key").cast("bigint").alias("bag_id"), "entity_id", *(c for c in features.columns[1:]))
 
 
 def write_table(df: DataFrame, path: str) -> None:
     """White-space separated text with a header line in each file; vectors take one column for each value."""
-    one = df.limit(1).collect()
-    widths = {c: len(one[0][c]) if one and isinstance(one[0][c], list) else 0 for c in df.columns}
+    vectors = [f.name for f in df.schema if f.dataType.typeName() == "array"]
+    sizes = df.agg(*(f(F.size(c)).alias(f"{n}_{c}") for c in vectors for n, f in (("min", F.min), ("max", F.max)))).first() if vectors else {}
+    if uneven := [c for c in vectors if sizes[f"min_{c}"] != sizes[f"max_{c}"]]:
+        raise ValueError(f"vectors of different lengths in {uneven}")
+    widths = {c: (sizes[f"max_{c}"] or 0) if c in vectors else 0 for c in df.columns}
     header = " ".join(" ".join([c] * max(1, w)) for c, w in widths.items())
     line = F.concat_ws(" ", *(V.format_vector(F.col(c)) if w else F.col(c).cast("string") for c, w in widths.items()))
     df.select(line.alias("%" + header)).write.option("header", "true").option("quote", "").csv(path, sep="\u0001")
@@ -74,22 +80,49 @@ _ITEM = "struct<type:string,location:array<array<double>>,__instantiable_depth__
 _GRAPH = f"struct<items:array<{_ITEM}>,__label__:bigint,label:boolean>"
 
 
+#: Fields of an exported item.
+FIELDS = ("location", "passer", "receiver")
+
+
 def bags_from_json(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(bags, entities) of exports [[graph, ...], [field, ...]]; bag ids count the graphs of each export."""
-    graphs = df.withColumn("export_id", F.monotonically_increasing_id()).select("export_id", F.posexplode(F.from_json(F.get_json_object(column, "$[0]"), f"array<{_GRAPH}>")).alias("graph_no", "graph"))
+    graphs = materialize(df.select(column).withColumn("export_id", F.monotonically_increasing_id())).select("export_id", F.posexplode(F.from_json(F.get_json_object(column, "$[0]"), f"array<{_GRAPH}>")).alias("graph_no", "graph"))
     bags = graphs.select("export_id", F.col("graph_no").alias("bag_id"), "graph.label")
     items = graphs.select("export_id", F.col("graph_no").alias("bag_id"), F.posexplode("graph.items").alias("entity_id", "item"))
     return bags, items.select("export_id", "bag_id", "entity_id", F.col("item.type").alias("type"), F.flatten("item.location").alias("location"), F.col("item.__instantiable_depth__").alias("depth"), "item.passer", "item.receiver")
 
 
-def bags_to_json(bags: DataFrame, entities: DataFrame, fields: list[str] = ("location", "passer", "receiver")) -> DataFrame:
-    """(bag_id, graph): each bag as a JSON graph whose items carry column vectors; a list of them is an export."""
-    item = F.struct(F.col("type"), V.column_vector(F.col("location")).alias("location"), F.col("depth").alias("__instantiable_depth__"), F.col("passer"), F.col("receiver"), F.lit("Item").alias("__json_class__"))
+def bags_to_json(bags: DataFrame, entities: DataFrame, fields: Sequence[str] = FIELDS, participants: DataFrame | None = None) -> DataFrame:
+    """(bag_id, graph): each bag as a JSON graph whose items carry the fields, vectors as columns.
+
+    The depth of an item is that of the participants (bag_id, depth, entity_id) which pin it, or their number of depths;
+    without participants it is the column `depth` of the entities.
+    """
+    depth = F.col("depth")
+    if participants is not None:
+        most = participants.agg((F.max("depth") + 1).alias("free"))
+        pins = participants.groupBy("bag_id", "entity_id").agg(F.min("depth").alias("pin"))
+        # one row
+        entities = entities.drop("depth").join(pins, ["bag_id", "entity_id"], "left").join(F.broadcast(most)).withColumn("depth", F.coalesce("pin", "free", F.lit(0)))
+    shown = [(V.column_vector(F.col(c)) if entities.schema[c].dataType.typeName() == "array" else F.col(c)).alias(c) for c in fields]
+    item = F.struct(F.col("type"), *shown, depth.alias("__instantiable_depth__"), F.lit("Item").alias("__json_class__"))
     items = entities.groupBy("bag_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("entity_id", item.alias("item")))), lambda x: x["item"]).alias("items"))
     graph = F.struct(F.col("items"), F.col("label").cast("int").alias("__label__"), F.col("label"), F.lit("Graph").alias("__json_class__"))
     return bags.join(items, "bag_id", "left").select("bag_id", F.to_json(graph, {"ignoreNullFields": "false"}).alias("graph"))
 
 
+def export_lines(graphs: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """(line): the lines, in order, of one document [[graph, ...], [field, ...]] of the rows of `bags_to_json`.
+
+    Written as text in their order they are one JSON document; no task holds more than a part of it.
+    """
+    spark, inner = graphs.sparkSession, graphs.select(F.lit(1).alias("part"), F.col("bag_id").cast("string").alias("key"), "graph")
+    first = graphs.agg(F.min(F.col("bag_id").cast("string")).alias("first"))
+    body = inner.join(F.broadcast(first)).select("part", "key", F.concat(F.when(F.col("key") == F.col("first"), "").otherwise(","), "graph").alias("line"))
+    ends = spark.createDataFrame([(0, "", "[["), (2, "", "]," + json.dumps(list(fields)) + "]")], "part int, key string, line string")
+    return body.unionByName(ends).orderBy("part", "key").select("line")
+
+
 # descriptor files
 
 

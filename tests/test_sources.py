@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from bagweave.sources import logs, tables
@@ -40,12 +42,36 @@ def test_game_log(spark, tmp_path):
     rows = logs.read_game_log(spark, str(tmp_path / "a.rcg")).collect()
     assert sorted((r.state_idx, r.time, r.subtime, r.kind, r.team, r["index"]) for r in rows) == [(0, 1, 0, "ball", -1, 0), (0, 1, 0, "player", 0, 1), (0, 1, 0, "player", 1, 1), (1, 1, 1, "ball", -1, 0)]
     (tmp_path / "a.rcl").write_text("1,0\tRecv Keepers_1: (kick 50 0)\n1,0\tRecv Coach: (x)\n9,0\tRecv Keepers_1: (kick 1 1)\n")
-    names = logs.team_names(spark.read.text(str(tmp_path / "a.rcg")))
+    names = logs.team_names(logs.read_lines(spark, str(tmp_path / "a.rcg")))
     commands = logs.read_commands(spark, logs.command_path(str(tmp_path / "a.rcg")))
     joined = logs.with_commands(logs.read_game_log(spark, str(tmp_path / "a.rcg")), commands, names)
     assert [(r["index"], r.kick_power) for r in joined.where("kick_power > 0 and not isnan(kick_power)").collect()] == [(1, 50.0)]
 
 
+def test_games_do_not_mix(spark, tmp_path):
+    """Two games with the same times and swapped team names; a kick of a player who isn't there is an error."""
+    (tmp_path / "a.rcg").write_text(GAME)
+    (tmp_path / "b.rcg").write_text(GAME.replace("Keepers Takers", "Takers Keepers"))
+    (tmp_path / "a.rcl").write_text("1,0\tRecv Keepers_1: (kick 50 0)\n1,0\tRecv Keepers_1: (kick 60 0)\n")
+    (tmp_path / "b.rcl").write_text("1,0\tRecv Keepers_1: (kick 70 0)\n")
+    states, names = logs.read_game_log(spark, f"{tmp_path}/*.rcg"), logs.team_names(logs.read_lines(spark, f"{tmp_path}/*.rcg"))
+    joined = logs.with_commands(states, logs.read_commands(spark, f"{tmp_path}/*.rcl"), names).where("not isnan(kick_power)")
+    assert sorted((r.log[-1], r.team, r["index"], r.kick_power) for r in joined.collect()) == [("a", 0, 1, 60.0), ("b", 1, 1, 70.0)]
+    (tmp_path / "b.rcl").write_text("1,0\tRecv Keepers_2: (kick 70 0)\n")
+    with pytest.raises(Exception, match="no player 2"):
+        logs.with_commands(states, logs.read_commands(spark, f"{tmp_path}/*.rcl"), names).collect()
+
+
+def test_export_document(spark):
+    bags = spark.createDataFrame([(1, True), (2, False)], "bag_id bigint, label boolean")
+    entities = spark.createDataFrame([(1, 0, "ball", [0.0, 1.0]), (1, 1, "player", [2.0, 3.0])], "bag_id bigint, entity_id int, type string, location array<double>")
+    pins = spark.createDataFrame([(1, 0, 1)], "bag_id bigint, depth int, entity_id int")
+    graphs = tables.bags_to_json(bags, entities, ("location",), pins)
+    document = json.loads("".join(r.line for r in tables.export_lines(graphs, ("location",)).collect()))
+    assert document[1] == ["location"] and [g["label"] for g in document[0]] == [True, False]
+    assert [(i["type"], i["location"], i["__instantiable_depth__"]) for i in document[0][0]["items"]] == [("ball", [[0.0], [1.0]], 1), ("player", [[2.0], [3.0]], 0)]
+
+
 def test_descriptors(spark, tmp_path):
     (tmp_path / "7.key").write_text("2 4\n1 2 3 4\n1 2\n3 4\n5 6 7 8\n9 9 9 9\n")
     rows = tables.read_descriptors(spark, str(tmp_path)).collect()
