@@ -41,11 +41,11 @@ b3 as (select b.bag_id, b.label, b.v0, b.v1, e.entity_id as v2 from b2 b left jo
 """
 
 
-def bound(spark: SparkSession, d: str, depth: int) -> DataFrame:
+def bound(spark: SparkSession, d: str, depth: int, carry: tuple[str, ...] = ()) -> DataFrame:
     bags, entities = orders_scene(spark, d)
     rows = bags
     for i in range(depth):
-        rows = T.bind(rows, T.candidates(entities, None, i), i)
+        rows = T.bind(rows, T.candidates(entities, None, i, carry), i)
     return rows
 
 
@@ -89,7 +89,7 @@ def split_3way(spark, d):
     bags, entities = orders_scene(spark, d)
     tree = flagship()
     split = next(n for n in T.walk(tree) if isinstance(n, T.Split))
-    rows = T.with_value(bound(spark, d, 2), entities, split.function, split.variables)
+    rows = T.with_value(bound(spark, d, 2, split.function.properties), entities, split.function, split.variables)
     return rows.select(T.route(F.col("value"), split.predicate).alias("branch"), "label").groupBy("branch", "label").agg(F.count("*").alias("n"))
 
 
@@ -116,7 +116,7 @@ def leaf_probabilities(spark, d):
 
 def value_of(spark, d, function: T.EntityFunction, variables, once=False):
     _, entities = orders_scene(spark, d)
-    return T.with_value(bound(spark, d, max(variables) + 1), entities, function, variables, once)
+    return T.with_value(bound(spark, d, max(variables) + 1, function.properties), entities, function, variables, once)
 
 
 def elements(df: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -176,9 +176,9 @@ def event_points(spark, d):
     """Bags of a user's day with an error event as label, values / 100 as points."""
     e = read_table(spark, d, "events").where("value is not null")
     bag = (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("bag_id")
-    e = e.select(bag, F.col("event_type").eqNullSafe("error").alias("is_error"), (F.col("value") / 100).alias("x"))
+    e = e.select("event_id", bag, F.col("event_type").eqNullSafe("error").alias("is_error"), (F.col("value") / 100).alias("x"))
     labels = e.groupBy("bag_id").agg(F.max("is_error").alias("label"))
-    return e.join(labels, "bag_id").select("bag_id", "label", F.array("x").alias("point"))
+    return e.join(labels, "bag_id").select("bag_id", F.col("event_id").alias("entity_id"), "label", F.array("x").alias("point"))
 
 
 EVENTS = "ev as (select user_id * 1000 + dayofyear(ts) as bag_id, coalesce(event_type = 'error', false) as is_error, value / 100 as x from events where value is not null), el as (select bag_id, bool_or(is_error) as label from ev group by 1), ep as (select bag_id, label, x from ev join el using (bag_id)) "
@@ -188,6 +188,24 @@ def diverse_density(spark, d):
     return Q.diverse_density(event_points(spark, d)).select("seed_bag", F.round(F.get("seed_point", F.lit(0)), 6).alias("seed"), F.round("score", 5).alias("score"))
 
 
+def densest_point(spark, d):
+    return Q.densest_point(Q.diverse_density(event_points(spark, d))).select("seed_bag", F.round(F.get("seed_point", F.lit(0)), 6).alias("seed"), F.round("score", 5).alias("score"))
+
+
+DENSITY = f"with {EVENTS}, seed as (select distinct bag_id as seed_bag, x as s from ep where bag_id in (select distinct bag_id from ep where label order by bag_id limit 4)), near as (select seed_bag, s, bag_id, label, min((x - s) * (x - s)) as d from ep, seed group by all), scored as (select seed_bag, s, sum(case when label then d when 1 - exp(-d) > 0 then -ln(1 - exp(-d)) else 'inf'::double end) as score from near group by seed_bag, s) "
+
+
+def kernel_density_2d(spark, d):
+    points = lineitem_points(spark, d).select(F.array("x", "y").alias("point"))
+    return Q.kernel_density(points, 2).select(*(F.round(F.get("cell", F.lit(i)), 5).alias(f"cell_{i}") for i in (0, 1)), F.round("density", 3).alias("density"))
+
+
+def mahalanobis_min(spark, d):
+    bags, entities = orders_scene(spark, d)
+    points = entities.join(bags, "bag_id").select("bag_id", "label", F.col("loc").alias("point"))
+    return Q.nearest_in_bags(points, [25.0, 38.0], [[0.02, -0.005], [-0.005, 0.01]]).select("bag_id", "label", r6("d2").alias("d2"), r6(F.get("point", F.lit(0))).alias("x"), r6(F.get("point", F.lit(1))).alias("y"))
+
+
 def kernel_density_1d(spark, d):
     return Q.kernel_density(event_points(spark, d)).select(F.round(F.get("cell", F.lit(0)), 6).alias("cell"), F.round("density", 4).alias("density"))
 
@@ -238,6 +256,16 @@ def kicks(spark, d):
     return choosers.hold_or_pass(s, "game_id")
 
 
+def hold_pass_bags(spark, d):
+    """The bags of holds and passes with the number of entities, and of pinned ones for each variable."""
+    s = read_table(spark, d, "states").dropDuplicates(["game_id", "state_idx"])
+    bags, entities, pins = choosers.hold_pass_bags(s, "game_id", strict=False)
+    sizes = entities.groupBy("bag_id").agg(F.count("*").alias("n_entities"))
+    fixed = pins.groupBy("bag_id").agg(F.count_if(F.col("depth") == 0).alias("n_kickers"), F.count_if(F.col("depth") == 1).alias("n_others"))
+    whole = bags.join(sizes, "bag_id").join(fixed, "bag_id")
+    return whole.select("bag_id.game_id", "bag_id.state_idx", "bag_id.kicker", "kind", "label", "n_entities", "n_kickers", "n_others")
+
+
 KICKS = f"""with once as (select * from states qualify row_number() over (partition by game_id, state_idx order by received_at) = 1),
 n as (select *, lead(ball) over w as nb, lead(players) over w as np from once window w as (partition by game_id order by state_idx)),
 k as (select game_id, state_idx, ball, nb, np, players, unnest(list_filter(players, lambda p: p.team = 0 and p.kick_power is not null and not isnan(p.kick_power))) as k from n where nb is not null),
@@ -250,6 +278,19 @@ g as (select *, coalesce(not again and sqrt((nb[1] - ball[1]) ** 2 + (nb[2] - ba
 select game_id, state_idx, k.team as team, k.index as index, case when is_pass then best.index end as receiver, is_pass from g"""
 
 
+HOLDS = f"""with kick as ({KICKS}),
+once as (select * from states qualify row_number() over (partition by game_id, state_idx order by received_at) = 1),
+s as (select game_id, state_idx, players, len(list_filter(players, lambda p: p.team = 0 and p.kick_power is not null and not isnan(p.kick_power))) > 0 as kick,
+  coalesce(new_session, false) as ns, row_number() over (partition by game_id order by state_idx) as n from once),
+t as (select *, max(n) over (partition by game_id) as last, min(case when kick then n end) over w as nk, min(case when ns then n end) over w as nx, lead(ns) over (partition by game_id order by n) as sn
+  from s window w as (partition by game_id order by n rows between 1 following and unbounded following)),
+l as (select *, coalesce(nx <= case when nk is null then last else greatest(nk, n + {choosers.AHEAD}) end, false) as label from t where kick and last - n >= {choosers.AHEAD} and not coalesce(sn, false))
+select l.game_id, l.state_idx, k.index as kicker, case when k.is_pass then 'pass' else 'hold' end as kind, l.label, len(l.players) + 1 as n_entities,
+  len(list_filter(l.players, lambda p: p.team = 0 and p.index = k.index)) as n_kickers,
+  len(list_filter(l.players, lambda p: case when k.is_pass then p.team = 0 and p.index = k.receiver else p.team = 1 end)) as n_others
+from l join kick k using (game_id, state_idx)"""
+
+
 def train_valid_split(spark, d):
     bags, _ = orders_scene(spark, d)
     return learning.train_validation(bags).select("bag_id", "train")
@@ -269,7 +310,7 @@ def bind_participants(spark, d):
 def learn_tree(spark, d):
     """A tree over the events scene: how it splits, as rows."""
     points = event_points(spark, d)
-    entities = points.select("bag_id", F.monotonically_increasing_id().alias("entity_id"), F.get("point", F.lit(0)).alias("value"))
+    entities = points.select("bag_id", "entity_id", F.get("point", F.lit(0)).alias("value"))
     config = learning.Config((T.valid(1), T.property_of("value")))
     tree = learning.learn(points.select("bag_id", "label").distinct(), entities, config)
     rows = [(n.id, type(n).__name__, getattr(n, "probability", None)) for n in T.walk(tree or config.initial)]
@@ -362,6 +403,10 @@ CATALOGUE = {
     "session_id": (lambda s, d: logs.session_ids(user_events(s, d).withColumn("start", F.col("event_type").eqNullSafe("error")), "user_id", ["ts", "event_id"], "start").select("event_id", "session_id"), "select event_id, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as session_id from events"),
     "lookahead_label": (lookahead_label, LOOKAHEAD),
     "hold_or_pass": (kicks, KICKS),
+    "hold_pass_bags": (hold_pass_bags, HOLDS),
+    "densest_point": (densest_point, DENSITY + "select seed_bag, round(s, 6) as seed, round(score, 5) as score from scored order by scored.score, seed_bag, s limit 1"),
+    "kernel_density_2d": (kernel_density_2d, "with p as (select l_quantity::double as x, l_extendedprice / 1000 as y from lineitem), lim as (select min(x) as lx, (max(x) - min(x)) / 31 as hx, min(y) as ly, (max(y) - min(y)) / 31 as hy, least((max(x) - min(x)), (max(y) - min(y))) / 31 as h from p), grid as (select lx + hx * i as gx, ly + hy * j as gy, h from lim, range(31) a(i), range(31) b(j)), near as (select gx, gy, h, (x - gx) * (x - gx) + (y - gy) * (y - gy) as d from grid left join p on (x - gx) * (x - gx) + (y - gy) * (y - gy) < 16 * h) select round(gx, 5) as cell_0, round(gy, 5) as cell_1, round(coalesce(sum(exp(-0.5 * d / (h * h)) / (2 * pi() * h)), 0), 3) as density from near group by gx, gy"),
+    "mahalanobis_min": (mahalanobis_min, f"with {ORDERS}, p as (select oe.bag_id, label, loc[1] as x, loc[2] as y, 0.02 * (loc[1] - 25) * (loc[1] - 25) - 0.01 * (loc[1] - 25) * (loc[2] - 38) + 0.01 * (loc[2] - 38) * (loc[2] - 38) as d2 from oe join ob using (bag_id)) select bag_id, label, round(d2, 6) + 0.0 as d2, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y from p qualify row_number() over (partition by bag_id order by d2, x, y) = 1"),
     "permutations_4_2": (lambda s, d: s.createDataFrame(list(V.permutations(4, 2)), "a int, b int"), "select a::int as a, b::int as b from range(4) x(a), range(4) y(b) where a <> b"),
     "bags_json": (bags_json, None),
     "tree_json": (lambda s, d: s.createDataFrame([(T.to_json(flagship()),)], "tree string"), None),

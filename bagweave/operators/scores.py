@@ -7,9 +7,11 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bagweave.functions import vectors as V
+from bagweave.session import materialize
 
 #: A later leaf's probability stays below the previous one by at least this share.
 STEP = 1e-6
@@ -120,15 +122,37 @@ def near_far(points: DataFrame, center: Column, by: tuple[str, ...] = ()) -> Dat
 def sweep(distances: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each distinct edge distance, with how many bags of each label are inside, straddling and outside.
 
-    A bag opens at its near edge and closes at its far edge. Ties are folded by the aggregate before the running sums,
-    so the window sees distinct distances only.
+    A bag opens at its near edge and closes at its far edge. Ties are folded by the aggregate before the running sums.
+    These are sums within ranges of distances, each a task of its own, on top of the totals of the ranges before.
     """
     pos, neg = F.col("label").cast("bigint"), (~F.col("label")).cast("bigint")
     edges = distances.select(*by, F.explode(F.array(F.struct(F.col("near").alias("d"), pos.alias("po"), neg.alias("no"), F.lit(0).cast("bigint").alias("pc"), F.lit(0).cast("bigint").alias("nc")), F.struct(F.col("far").alias("d"), F.lit(0).cast("bigint").alias("po"), F.lit(0).cast("bigint").alias("no"), pos.alias("pc"), neg.alias("nc")))).alias("e"))
-    folded = edges.groupBy(*by, F.col("e.d").alias("distance")).agg(*(F.sum(f"e.{c}").alias(c) for c in ("po", "no", "pc", "nc")))
-    run = Window.partitionBy(*by).orderBy("distance").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    sums = folded.select(*by, "distance", *(F.sum(c).over(run).alias(f"s_{c}") for c in ("po", "no", "pc", "nc")), F.sum("po").over(whole).alias("all_pos"), F.sum("no").over(whole).alias("all_neg"), F.lead("distance").over(Window.partitionBy(*by).orderBy("distance")).alias("next"))
+    parts = ("po", "no", "pc", "nc")
+    folded = edges.groupBy(*by, F.col("e.d").alias("distance")).agg(*(F.sum(f"e.{c}").alias(c) for c in parts))
+    # a bucket is a range of distances; it is written, since its bounds must be the same for its sums and its rows
+    ranged = folded.repartitionByRange(*(F.col(c) for c in (*by, "distance"))).withColumn("bucket", F.spark_partition_id())
+    rows = materialize(ranged)
+    # a row for each bucket (and each `by` that it has): as many as there are partitions and `by`s
+    totals = rows.groupBy(*by, "bucket").agg(*(F.sum(c).alias(c) for c in parts), F.min("distance").alias("least")).collect()
+    made, last, sums = [], object(), None
+    for row in sorted(totals, key=lambda r: (repr([r[c] for c in by]), r["bucket"])):
+        key = tuple(row[c] for c in by)
+        name = repr(key)
+        if key != last:
+            last, sums = key, [0] * len(parts)
+        if made and made[-1]["key"] == key:
+            made[-1]["after"] = row["least"]
+        made.append({"key": key, "name": name, "bucket": row["bucket"], "before": list(sums), "after": None})
+        sums = [x + (row[c] or 0) for x, c in zip(sums, parts, strict=True)]
+        made[-1]["ends"] = sums
+    whole = {m["name"]: m["ends"] for m in made}
+    small = [(*m["key"], m["bucket"], *m["before"], m["after"], *whole[m["name"]][:2]) for m in made]
+    schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("bucket", T.IntegerType()), *(T.StructField(f"b_{c}", T.LongType()) for c in parts), T.StructField("after", rows.schema["distance"].dataType), T.StructField("all_pos", T.LongType()), T.StructField("all_neg", T.LongType())])
+    before = F.broadcast(distances.sparkSession.createDataFrame(small, schema))
+    order = Window.partitionBy(*by, "bucket").orderBy("distance")
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.select(*by, "bucket", "distance", *(F.sum(c).over(run).alias(f"w_{c}") for c in parts), F.lead("distance").over(order).alias("following"))
+    sums = within.join(before, [*by, "bucket"]).select(*by, "distance", F.coalesce("following", "after").alias("next"), *((F.col(f"b_{c}") + F.col(f"w_{c}")).alias(f"s_{c}") for c in parts), "all_pos", "all_neg")
     return sums.select(*by, "distance", "next", F.col("s_pc").alias("y_pos"), F.col("s_nc").alias("y_neg"), (F.col("s_po") - F.col("s_pc")).alias("m_pos"), (F.col("s_no") - F.col("s_nc")).alias("m_neg"), (F.col("all_pos") - F.col("s_po")).alias("n_pos"), (F.col("all_neg") - F.col("s_no")).alias("n_neg"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagweave.functions import vectors as V
+from bagweave.session import materialize
 
 
 def vector_aggregate(df: DataFrame, vec_col: str, dims: int, how: str) -> DataFrame:
@@ -38,37 +40,73 @@ def kernel_summary(points: DataFrame) -> DataFrame:
     return used.agg(F.count("*").alias("n"), F.max(F.get("point", F.lit(0))).alias("greatest"), F.avg(F.get("point", F.lit(0))).alias("mean")).select(F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no positive points"))).alias("n"), "greatest", "mean")
 
 
+#: Seeds that are broadcast at once.
+SEED_BLOCK = 10_000
+
+
+def against_seeds(points: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Every point with every seed. The seeds, a written table, go in blocks of about SEED_BLOCK, each of which is
+    broadcast, so what is broadcast is bounded however many seeds there are."""
+    blocks = max(1, -(-seeds.count() // SEED_BLOCK))
+    block = F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in seeds.columns)), F.lit(blocks))
+    made = [points.crossJoin(F.broadcast(seeds.where(block == b))) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, made)
+
+
 def diverse_density(points: DataFrame, bag_limit: int = 4) -> DataFrame:
     """(seed_bag, seed_point, score): the points of the first positive bags, scored as common centres; least is best.
 
     Each positive bag adds its least squared distance to the seed, each negative one -ln(1 - exp(-that)). The seeds
-    come from `bag_limit` bags and are broadcast; all points are compared with them.
+    come from `bag_limit` bags; all points are compared with them.
     """
     good = points.where(~V.any_nan(F.col("point")))
     bags = good.where("label").select("bag_id").distinct().orderBy("bag_id").limit(bag_limit)
-    seeds = good.join(F.broadcast(bags), "bag_id", "left_semi").select(F.col("bag_id").alias("seed_bag"), F.col("point").alias("seed_point")).distinct()
-    nearest = good.join(F.broadcast(seeds)).groupBy("seed_bag", "seed_point", "bag_id", "label").agg(F.min(V.squared_distance(F.col("point"), F.col("seed_point"))).alias("d"))
+    seeds = materialize(good.join(F.broadcast(bags), "bag_id", "left_semi").select(F.col("bag_id").alias("seed_bag"), F.col("point").alias("seed_point")).distinct())
+    nearest = against_seeds(good, seeds).groupBy("seed_bag", "seed_point", "bag_id", "label").agg(F.min(V.squared_distance(F.col("point"), F.col("seed_point"))).alias("d"))
     inside = F.lit(1.0) - F.exp(-F.col("d"))
     cost = F.when(F.col("label"), F.col("d")).otherwise(F.when(inside > 0, -F.ln(F.when(inside > 0, inside))).otherwise(F.lit(math.inf)))
     return nearest.groupBy("seed_bag", "seed_point").agg(F.sum(cost).alias("score"))
 
 
+def densest_point(scores: DataFrame) -> DataFrame:
+    """(seed_bag, seed_point, score) of the least score; of equal ones that of the first bag and least point."""
+    return scores.groupBy().agg(F.min(F.struct("score", "seed_bag", "seed_point")).alias("best")).where("best is not null").select("best.seed_bag", "best.seed_point", "best.score")
+
+
+def nearest_in_bags(points: DataFrame, mean: Sequence[float], precision_of: Sequence[Sequence[float]]) -> DataFrame:
+    """(bag_id, label, d2, point): the least squared Mahalanobis distance of each bag's points, and the point that has it
+    (the least of equally near ones). Points with NaN don't count; bags without others are left out."""
+    good = points.where(~V.any_nan(F.col("point"))).withColumn("d2", V.mahalanobis_squared(F.col("point"), mean, precision_of))
+    best = good.groupBy("bag_id", "label").agg(F.min(F.struct("d2", "point")).alias("best"))
+    return best.select("bag_id", "label", "best.d2", "best.point")
+
+
 def kernel_density(points: DataFrame, dims: int = 1, steps: int = 31) -> DataFrame:
     """(cell array, density) on a grid of `steps` places in each dimension, from the least value on; the greatest one
     is not a place of the grid. With h the least step of all dimensions, each point whose squared distance to a place
-    is below 16 h adds exp(-distance / (2 h^dims)) / (2 pi h)^(dims / 2). The grid is broadcast: steps^dims places.
+    is below 16 h adds exp(-distance / (2 h^dims)) / (2 pi h)^(dims / 2). A point meets only the places in reach of it,
+    which are counted off from its own; sums are made before the shuffle.
     """
-    good = points.where(~V.any_nan(F.col("point")))
+    good = points.where(~V.any_nan(F.col("point"))).select("point")
     bounds = good.agg(*(F.min(F.get("point", F.lit(i))).alias(f"lo{i}") for i in range(dims)), *(F.max(F.get("point", F.lit(i))).alias(f"hi{i}") for i in range(dims)))
-    step = [(F.col(f"hi{i}") - F.col(f"lo{i}")) / steps for i in range(dims)]
-    grid = bounds.withColumn("h", F.array_min(F.array(*step)))
+    bounds = bounds.select("*", *((F.col(f"hi{i}") - F.col(f"lo{i}")).alias(f"wide{i}") for i in range(dims)))
+    bounds = bounds.select("*", (F.array_min(F.array(*(f"wide{i}" for i in range(dims)))) / steps).alias("h"))
+    step = [F.col(f"wide{i}") / steps for i in range(dims)]
+    place = [F.col(f"lo{i}") + step[i] * F.col(f"s{i}") for i in range(dims)]
+    # one row of bounds
+    near = good.crossJoin(F.broadcast(bounds)).where("h > 0")
     for i in range(dims):
-        grid = grid.withColumn(f"s{i}", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    grid = grid.select("h", F.array(*(F.col(f"lo{i}") + step[i] * F.col(f"s{i}") for i in range(dims))).alias("cell"))
-    near = good.select("point").join(F.broadcast(grid)).withColumn("d", V.squared_distance(F.col("point"), F.col("cell"))).where(F.col("d") < 16 * F.col("h"))
+        own, reach = (F.get("point", F.lit(i)) - F.col(f"lo{i}")) / step[i], 4 * F.sqrt("h") / step[i]
+        first, last = F.greatest(F.lit(0), F.floor(own - reach).cast("int")), F.least(F.lit(steps - 1), F.ceil(own + reach).cast("int"))
+        near = near.withColumn(f"s{i}", F.explode(F.when(first <= last, F.sequence(first, last))))
+    near = near.withColumn("d", V.squared_distance(F.col("point"), F.array(*place))).where(F.col("d") < 16 * F.col("h"))
     weight = V.divide(F.exp(F.lit(-0.5) * V.divide(F.col("d"), F.pow("h", F.lit(float(dims))))), F.pow(2 * math.pi * F.col("h"), F.lit(0.5 * dims)))
-    sums = near.groupBy("cell").agg(F.sum(weight).alias("sum"))
-    return grid.join(sums, "cell", "left").select("cell", F.coalesce("sum", F.lit(0.0)).alias("density"))
+    at = [f"s{i}" for i in range(dims)]
+    sums = near.groupBy(*at).agg(F.sum(weight).alias("sum"))
+    grid = bounds
+    for i in range(dims):
+        grid = grid.withColumn(f"s{i}", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    return grid.join(sums, at, "left").select(F.array(*place).alias("cell"), F.coalesce("sum", F.lit(0.0)).alias("density"))
 
 
 def range_match(df: DataFrame, vec_col: str, center: Sequence[float], radius: float) -> DataFrame:

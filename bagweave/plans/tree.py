@@ -209,30 +209,42 @@ def to_json(root, indent: int | None = 2) -> str:
 # execution
 
 
-def candidates(entities: DataFrame, participants: DataFrame | None, depth: int) -> DataFrame:
-    """(bag_id, entity) that a variable at `depth` may take: the bag's participants at that depth, else its entities."""
-    own = entities.select("bag_id", F.col("entity_id").alias("entity"))
+def candidates(entities: DataFrame, participants: DataFrame | None, depth: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(bag_id, entity[, arg]) that a variable at `depth` may take: the bag's participants at that depth, else its
+    entities. arg: the properties to carry along, so that functions of the variable need no join of their own."""
+    properties = [F.struct(*carry).alias("arg")] if carry else []
+    own = entities.select("bag_id", F.col("entity_id").alias("entity"), *properties)
     if participants is None:
         return own
     pinned = participants.where(F.col("depth") == depth).select("bag_id", F.col("entity_id").alias("entity"))
-    return own.join(pinned.select("bag_id").distinct(), "bag_id", "left_anti").unionByName(pinned)
+    free = own.join(pinned.select("bag_id").distinct(), "bag_id", "left_anti")
+    if carry:
+        pinned = pinned.join(own, ["bag_id", "entity"], "left")
+    return free.unionByName(pinned)
 
 
 def bind(bindings: DataFrame, cand: DataFrame, depth: int) -> DataFrame:
-    """Extends bindings (bag_id, label, v0 .. v{depth-1}) by v{depth}.
+    """Extends bindings (bag_id, label, v0 .. v{depth-1}) by v{depth}, and by a{depth} with what the candidates carry.
 
     A left join on the bag with null-safe inequality to what is bound: without a candidate the new variable is NULL,
-    and later variables may still bind entities.
+    and later variables may still bind entities. Every variable is bound on the bag, so the bindings keep their
+    partitioning, and the entities are shuffled once for all variables.
     """
     right = cand.withColumnRenamed("bag_id", "cand_bag")
     free = F.col("bag_id") == F.col("cand_bag")
     for i in range(depth):
         free = free & ~F.col("entity").eqNullSafe(F.col(f"v{i}"))
-    return bindings.join(right, free, "left").drop("cand_bag").withColumnRenamed("entity", f"v{depth}")
+    joined = bindings.join(right, free, "left").drop("cand_bag").withColumnRenamed("entity", f"v{depth}")
+    return joined.withColumnRenamed("arg", f"a{depth}")
+
+
+def needed_properties(root) -> list[str]:
+    """The properties that the functions of a tree read."""
+    return list(dict.fromkeys(p for n in walk(root) if isinstance(n, Split) and n.function is not None for p in n.function.properties))
 
 
 def with_value(bindings: DataFrame, entities: DataFrame, function: EntityFunction, variables: Sequence[int], once: bool = False) -> DataFrame:
-    """Adds `value`, the function of the given variables. Only the properties it needs are joined to the bindings.
+    """Adds `value`, the function of the given variables. Properties that the bindings don't carry are joined to them.
 
     once: evaluate each distinct tuple of arguments of a bag once and join the value back (for costly functions deep in
     a tree, where the same arguments occur with many other bindings).
@@ -241,11 +253,17 @@ def with_value(bindings: DataFrame, entities: DataFrame, function: EntityFunctio
     if not function.properties:
         stand_in = [F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("entity_id"))) for n in names]
         return bindings.withColumn("value", function.column(stand_in))
-    source = bindings.select("bag_id", *dict.fromkeys(names)).distinct() if once else bindings
-    for k, n in enumerate(names):
+    carried = {f"a{i}" for i in variables if f"a{i}" in bindings.columns and set(function.properties) <= set(bindings.schema[f"a{i}"].dataType.fieldNames())}
+    keep = sorted(carried)
+    source = bindings.select("bag_id", *dict.fromkeys(names), *keep).distinct() if once else bindings
+    args = []
+    for k, (i, n) in enumerate(zip(variables, names, strict=True)):
+        if f"a{i}" in carried:
+            args.append(F.col(f"a{i}"))
+            continue
         side = entities.select(F.col("bag_id").alias("b"), F.col("entity_id").alias("e"), F.struct(*function.properties).alias(f"arg{k}"))
         source = source.join(side, (F.col("bag_id") == F.col("b")) & (F.col(n) == F.col("e")), "left").drop("b", "e")
-    args = [F.col(f"arg{k}") for k in range(len(names))]
+        args.append(F.col(f"arg{k}"))
     valued = source.withColumn("value", function.column(args)).drop(*(f"arg{k}" for k in range(len(names))))
     if not once:
         return valued
@@ -270,6 +288,7 @@ def propagate(root: Root, bags: DataFrame, entities: DataFrame, participants: Da
     With keep=None bindings are reduced to distinct (leaf, bag), which every score needs.
     """
     out: list[DataFrame] = []
+    carry = needed_properties(root)
 
     def visit(node, rows: DataFrame, depth: int) -> None:
         if isinstance(node, Leaf):
@@ -277,7 +296,7 @@ def propagate(root: Root, bags: DataFrame, entities: DataFrame, participants: Da
             rows = rows.select(F.lit(node.id).alias("leaf_id"), "bag_id", "label", *kept)
             out.append(rows if keep is not None else rows.distinct())
         elif isinstance(node, Var):
-            visit(node.kid, bind(rows, candidates(entities, participants, depth), depth), depth + 1)
+            visit(node.kid, bind(rows, candidates(entities, participants, depth, carry), depth), depth + 1)
         elif isinstance(node, Split):
             if node.function is None or node.predicate is None:
                 routed = rows.withColumn("branch", F.lit("err"))
