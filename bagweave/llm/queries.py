@@ -135,8 +135,25 @@ select bag_id, group_id from grouped where n > 1
 """
 
 
+_PAIRS = """
+with good as (
+  select distinct feature_id, feature from sift_combined where feature_id is not null and len(feature) = 128
+    and len(list_filter(feature, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(feature, lambda x: x <> 0)) > 0
+), scaled as (
+  select feature_id, list_transform(feature, lambda x: x / sqrt(list_sum(list_transform(feature, lambda y: y * y))))::double[128] as v from good
+), near as (
+  select a.feature_id as a, b.feature_id as b, array_distance(a.v, b.v) as d from scaled a join scaled b on a.feature_id <> b.feature_id
+  where array_distance(a.v, b.v) <= 0.12 + 1e-6
+), ranked as (
+  select a, b, row_number() over (partition by a order by d, b) as n from near
+)
+select distinct least(a, b) as feature_a, greatest(a, b) as feature_b from ranked where n <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _PAIRS,
         "p3_found": _RELATED,
         "p5_found": _NEAR + "select game_id, first_idx, last_idx from made",
         "p5_runs": _NEAR + "select * from made",
