@@ -234,6 +234,17 @@ def test_long_loose_clusters_are_split_to_the_end(spark):
     assert [(r.medoid, r["size"], r.typical) for r in made if r.cluster_id == 60] == [(60, 12, [60, 61, 62])]
 
 
+def test_large_clusters_are_regrouped_in_blocks(spark, monkeypatch):
+    """Blocks give the same groups as one task, for loose and tight clusters."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.cumsum(rng.uniform(0.1, 0.6, 70)), 200 + rng.uniform(0, 0.4, 30)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:, None])], "id bigint, vec array<double>")
+    members = spark.createDataFrame([(i, 0 if i < 70 else 70, 70 if i < 70 else 30) for i in range(100)], "rec_id bigint, cluster_id bigint, size bigint")
+    whole = {tuple(map(str, r)) for r in clusters.typical_members(members, df, 0.9).collect()}
+    monkeypatch.setattr(clusters, "MEMBERS", 9)
+    assert {tuple(map(str, r)) for r in clusters.typical_members(members, df, 0.9).collect()} == whole and len(whole) > 10
+
+
 STATES = "game_id bigint, state_idx bigint, time bigint, subtime bigint, new_session boolean, players array<struct<team:int,index:bigint,location:array<double>,orientation:double,kick_power:double,kick_angle:double>>, received_at bigint, chunk string"
 NAN = float("nan")
 
