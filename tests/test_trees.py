@@ -127,3 +127,36 @@ def test_learner_goes_on_until_no_expansion_is_accepted(spark, monkeypatch):
     bags = spark.createDataFrame([(b, b % 2 == 0) for b in range(30)], "bag_id bigint, label boolean")
     tree = learning.learn(bags, None, learning.Config((T.property_of("x"),)))
     assert sum(isinstance(n, T.Split) for n in T.walk(tree)) == 10 and next(calls) == 11
+
+
+def test_packed_bags_are_bound_without_shuffles(spark):
+    """The same sets of leaves and points as with joins, for a tree with variables in two branches."""
+    rng = random.Random(4)
+    bags = spark.createDataFrame([(b, b % 3 == 0) for b in range(40)] + [(99, True)], "bag_id bigint, label boolean")
+    entities = spark.createDataFrame([(b, i, None if rng.random() < 0.1 else float(rng.randrange(5))) for b in range(40) for i in range(b % 5)], "bag_id bigint, entity_id bigint, x double")
+    pins = spark.createDataFrame([(4, 0, 2), (9, 1, 3), (9, 0, 77)], "bag_id bigint, depth int, entity_id bigint")
+    f, g = T.property_of("x"), T.distance(T.property_of("x"))
+    below = [T.Var(T.Split(h, (0, 1), T.DistanceThreshold((c,), 1.0), T.Leaf(), T.Leaf(), T.Leaf())) for h, c in ((g, 0.0), (T.valid(2), 1.0))]
+    tree = T.numbered(T.Root(T.Var(T.Split(f, (0,), T.DistanceThreshold((1.0,), 1.0), *below, T.Leaf()))))
+    for participants in (None, pins):
+        packed = learning.materialize(T.packed(bags, entities, participants, ("x",)).withColumn("row", F.monotonically_increasing_id()))
+        rows = T.propagate(tree, packed, entities, participants)
+        assert scores.signatures(rows) == scores.signatures(T.propagate(tree, bags, entities, participants))
+        assert not any(x in rows._jdf.queryExecution().executedPlan().toString() for x in ("Join", "Exchange"))
+        for leaf in T.leaves(tree)[:1]:
+            for new, function in ((0, f), (1, g)):
+                of = (new, function, (0,) if function is f else (0, T.depth_of(tree, leaf.id)))
+                want = {(r.bag_id, tuple(r.point)) for r in learning._points_at(tree, leaf.id, of, bags, entities, participants).collect() if r.point[0] == r.point[0] and r.point[0] is not None}
+                got = [(r.bag_id, tuple(p)) for r in learning._points_at(tree, leaf.id, of, packed, entities, participants).collect() for p in r.points]
+                assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_seeds_are_swept_as_by_windows(spark, monkeypatch, most):
+    monkeypatch.setattr(learning, "DRIVER_EDGES", most)
+    rng = random.Random(5)
+    rows = [(b, b % 2 == 0, [float(rng.randrange(8)), float("nan") if rng.random() < 0.1 else rng.random()]) for b in range(60) for _ in range(4)]
+    points = spark.createDataFrame(rows, "bag_id bigint, label boolean, point array<double>")
+    center = (1.0, 0.5)
+    best = scores.best_threshold(scores.near_far(points, F.array(*map(F.lit, center))), F.lit(True)).first()
+    assert learning._swept(learning._by_bag(points), [center, (40.0, 0.0)])[0] == (pytest.approx(best["score"]), pytest.approx(best["threshold"]))
