@@ -410,3 +410,15 @@ def test_alignment_counts_edits():
     assert ok([*range(10), *range(11, 21)])
 
 
+
+
+def test_no_link_is_lost_by_bands_or_groups(spark, monkeypatch):
+    """Bands that find nothing and groups without guests; the clusters are those of all pairs."""
+    monkeypatch.setattr(clusters, "band_key", lambda hashes, chosen: np.arange(hashes.shape[1]).astype(np.uint64))
+    monkeypatch.setattr(clusters, "GROUP_ROWS", 60)
+    monkeypatch.setattr(clusters, "CROSS", -1.0)
+    monkeypatch.setattr(clusters, "PAGE_ROWS", 50)
+    x = unit_rows(300, 32, 6, spread=0.15)
+    df = spark.createDataFrame([(i, v.tolist(), "", "") for i, v in enumerate(x)], VEC)
+    _, parts = clusters.vector_links(df, "feature_id", "feature", 32, 0.3)
+    assert {(r.rec_id, r.cluster_id) for r in clusters.clusters_of(parts, 4).collect()} == brute_clusters(vectors.unit(x), 0.3, 4)
