@@ -422,3 +422,38 @@ def test_no_link_is_lost_by_bands_or_groups(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist(), "", "") for i, v in enumerate(x)], VEC)
     _, parts = clusters.vector_links(df, "feature_id", "feature", 32, 0.3)
     assert {(r.rec_id, r.cluster_id) for r in clusters.clusters_of(parts, 4).collect()} == brute_clusters(vectors.unit(x), 0.3, 4)
+
+
+def test_all_pairs_in_balls_and_parts(spark, monkeypatch):
+    """Groups without guests cut the clusters; balls, wide components and single rows, some of them with signs, are tied."""
+    monkeypatch.setattr(clusters, "GROUP_ROWS", 60)
+    monkeypatch.setattr(clusters, "CROSS", -1.0)
+    for name, value in {"PAGE_ROWS": 70, "PARTS": 6, "STRIP": 16, "WIDTH": 48, "BALL_ROWS": 3, "PAGES_KEPT": 2}.items():
+        monkeypatch.setattr(clusters, name, value, raising=False)
+    angle = np.linspace(0, 2.5, 40)
+    wide = np.zeros((40, 32))
+    wide[:, 0], wide[:, 1] = np.cos(angle), np.sin(angle)
+    x = np.concatenate([unit_rows(300, 32, 6, spread=0.15), np.round(wide * 400), np.round(np.random.default_rng(8).normal(size=(40, 32)) * 100)])
+    df = spark.createDataFrame([(i, v.tolist(), "", "") for i, v in enumerate(x)], VEC)
+    _, parts = clusters.vector_links(df, "feature_id", "feature", 32, 0.3)
+    assert {(r.rec_id, r.cluster_id) for r in clusters.clusters_of(parts, 4).collect()} == brute_clusters(vectors.unit(x), 0.3, 4)
+
+
+def test_a_task_gets_few_pages_at_once(spark, monkeypatch):
+    """Pairs of pages come in small batches, however many a task has: each is some MB of an executor's memory."""
+
+    def sizes(max_distance, dim):
+        def run(batches):
+            for n, batch in enumerate(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([1000 + n])], ["u", "v"])
+
+        return run
+
+    seen = []
+    monkeypatch.setattr(clusters, "_page_links", sizes)
+    monkeypatch.setattr(clusters, "PAGE_ROWS", 5)
+    monkeypatch.setattr(clusters, "random_mate", lambda edges, **_: seen.append(edges) or spark.createDataFrame([], "v bigint, root bigint"))
+    df = spark.createDataFrame([(i, v.tolist(), "", "") for i, v in enumerate(unit_rows(400, 16, 3))], VEC)
+    clusters.vector_links(df, "feature_id", "feature", 16, 0.3)
+    got = [r.u for r in seen[-1].where("v >= 1000").collect()]
+    assert got and max(got) <= 4
